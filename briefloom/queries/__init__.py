@@ -2,3 +2,4 @@
 
 from briefloom.queries.registry import ORACLES, QUERIES  # noqa: F401
 from briefloom.queries import texts  # noqa: F401
+from briefloom.queries import checks  # noqa: F401

@@ -75,7 +75,8 @@ BLOCKS = """blocks AS (
            ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS block_no,
          l_linenumber AS line_no, l_partkey AS part_key, l_suppkey AS supp_key,
          CAST(l_quantity AS INTEGER) AS units,
-         CASE WHEN l_partkey % 5 = 0 THEN 'figure' ELSE 'bullet' END AS type, l_partkey % 5 = 0 AS is_visual,
+         CASE WHEN l_partkey % 10 = 0 THEN 'table' WHEN l_partkey % 5 = 0 THEN 'figure' ELSE 'bullet' END AS type,
+         l_partkey % 5 = 0 AS is_visual,
          CASE WHEN l_partkey % 5 = 0 THEN l_partkey END AS asset_ref, l_linenumber % 4 AS level,
          ['verbatim', 'compressed', 'synthesized', 'inferred', 'authored'][l_suppkey % 5 + 1] AS derivation,
          CAST(round(l_discount * 10000) AS INTEGER) AS importance_milli,

@@ -87,30 +87,36 @@ def points_packed(spark, sf):
             .select("doc_id", "slide_no", "point", (F.col("p") + 1).cast("long").alias("point_no")))
 
 
-def _prefix(x: str, mark: str, limit: int) -> str:
-    pieces = (f"list_filter(string_split(regexp_replace({x}, '({mark})', '\\1' || chr(1), 'g'), chr(1)), "
-              f"lambda p: p <> '')")
-    fits = (f"list_filter(list_transform(range(1, len({pieces}) + 1), "
-            f"lambda i: array_to_string(({pieces})[1:i], '')), lambda q: {b.units('q')} <= {limit})")
-    kept = b.strip(f"({fits})[len({fits})]")
-    trimmed = f"regexp_replace({kept}, '[，,、；;\\x{{3000}} ]+$', '')"
-    return f"CASE WHEN len({pieces}) >= 2 AND {kept} <> '' THEN nullif({trimmed}, '') END"
+def shorten_ctes(source: str, x: str, limit: int) -> str:
+    """Per row of ``source``: pieces at each kind of boundary, the prefixes that fit, the shortened text."""
+    def pieces(mark: str) -> str:
+        return f"list_filter(string_split(regexp_replace({x}, '({mark})', '\\1' || chr(1), 'g'), chr(1)), lambda p: p <> '')"
 
+    def kept(p: str) -> str:
+        fits = (f"list_filter(list_transform(range(1, least(len({p}), 60) + 1), "
+                f"lambda i: array_to_string({p}[1:i], '')), lambda q: {b.units('q')} <= {limit})")
+        return f"CASE WHEN len({p}) >= 2 THEN {b.strip(f'({fits})[-1]')} END"
 
-def shorten_sql(x: str, limit: int) -> str:
-    return (f"CASE WHEN {b.units(x)} <= {limit} THEN {x} ELSE coalesce({_prefix(x, '[。！？；.!?;]', limit)}, "
-            f"{_prefix(x, '[，,、]', limit)}, {_prefix(x, b.SPACE, limit)}, {x}) END")
+    def final(k: str) -> str:
+        return f"nullif(regexp_replace({k}, '[，,、；;\\x{{3000}} ]+$', ''), '')"
+
+    return f"""
+sp AS (SELECT doc_id, slide_no, {x} AS whole, {b.units(x)} <= {limit} AS fits, {pieces('[。！？；.!?;]')} AS p1,
+              {pieces('[，,、]')} AS p2, {pieces(b.SPACE)} AS p3 FROM {source}),
+sk AS (SELECT doc_id, slide_no, whole, fits, {kept('p1')} AS k1, {kept('p2')} AS k2, {kept('p3')} AS k3 FROM sp),
+shorts AS (SELECT doc_id, slide_no,
+                  CASE WHEN fits THEN whole ELSE coalesce({final('k1')}, {final('k2')}, {final('k3')}, whole) END AS short
+           FROM sk)"""
 
 
-@query("shorten", b.with_(b.LINES, body=f"SELECT doc_id, slide_no, {shorten_sql('line', 8)} AS short FROM lines"))
+@query("shorten", b.with_(b.LINES, shorten_ctes("lines", "line", 8), body="SELECT * FROM shorts"))
 def shorten(spark, sf):
     return c.lines(spark, sf).select("doc_id", "slide_no", tx.shorten_to("line", 8).alias("short"))
 
 
-@query("head_tail", b.with_(b.LINES, points_ctes(10), f"""
+@query("head_tail", b.with_(b.LINES, points_ctes(10), shorten_ctes("src", "t", 10), f"""
 ready AS (SELECT s.doc_id, s.slide_no, t, points, {b.units('t')} AS total, {b.units('points[1]')} AS first_units,
-                 {shorten_sql('t', 10)} AS short
-          FROM src s JOIN pts USING (doc_id, slide_no))""", recursive=True, body=f"""
+                 short FROM src s JOIN pts USING (doc_id, slide_no) JOIN shorts USING (doc_id, slide_no))""", recursive=True, body=f"""
 SELECT doc_id, slide_no,
        CASE WHEN total <= 10 THEN t
             WHEN len(points) > 1 AND (first_units <= 10 OR first_units * 5 <= total * 3) THEN points[1]

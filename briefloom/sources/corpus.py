@@ -20,6 +20,13 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on input that arrives in fewer splits than there are cores; large inputs pass untouched."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if have >= want else df.repartition(want)
+
+
 def pick(key: Column, values: list[str]) -> Column:
     """values[key] for a small fixed list."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key + 1).cast("int"))
@@ -29,7 +36,7 @@ def pick(key: Column, values: list[str]) -> Column:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "documents").select("doc_id", F.col("source").alias("deck_uid"), "text")
+    return spread(read(spark, folder, "documents").select("doc_id", F.col("source").alias("deck_uid"), "text"))
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +127,8 @@ def num_blocks(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws(".", "l_orderkey", line, part, supp, units, cents).alias("block_uid"),
         line.alias("line_no"), part.alias("part_key"), supp.alias("supp_key"), units.alias("units"),
         cents.alias("price_cents"),
-        F.when(figure, "figure").otherwise("bullet").alias("type"), figure.alias("is_visual"),
+        F.when(part % 10 == 0, "table").when(figure, "figure").otherwise("bullet").alias("type"),
+        figure.alias("is_visual"),
         F.when(figure, part).alias("asset_ref"), (line % 4).alias("level"),
         pick(supp % 5, DERIVATIONS).alias("derivation"),
         F.round(F.col("l_discount") * 10000).cast("int").alias("importance_milli"),
