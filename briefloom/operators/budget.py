@@ -317,7 +317,7 @@ def place_blocks(candidates: DataFrame, plan: DataFrame) -> DataFrame:
     weak = free & (F.col("importance_milli") < F.col("demote_below"))
     returns = F.coalesce(F.col("block_uid") == F.col("back.block_uid"), F.lit(False))
     first = F.when(returns, "slide").when(over | weak, "script").otherwise(F.col("channel"))
-    b = b.withColumn("reinstated", returns).withColumn("__ch", first)
+    b = b.withColumn("reinstated", returns).withColumn("cap_demoted", over | weak).withColumn("__ch", first)
     text = F.col("kind").isin("b", "t")
     page = F.when(text & (F.col("__ch") == "slide"), F.coalesce(F.col("page_grants")[F.col("weight")], F.lit(0)))
     b = b.withColumn("__page", page)

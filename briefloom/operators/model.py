@@ -190,14 +190,14 @@ def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def schema_rows(spark, schema: T.StructType, prefix: str = "") -> list[tuple[str, str, bool]]:
+def schema_rows(schema: T.StructType, prefix: str = "") -> list[tuple[str, str, bool]]:
     out = []
     for f in schema.fields:
         name = prefix + f.name
         inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
         if isinstance(inner, T.StructType):
             out.append((name, "array" if isinstance(f.dataType, T.ArrayType) else "struct", not f.nullable))
-            out.extend(schema_rows(spark, inner, name + "."))
+            out.extend(schema_rows(inner, name + "."))
         else:
             out.append((name, f.dataType.simpleString(), not f.nullable))
     return out
@@ -206,9 +206,9 @@ def schema_rows(spark, schema: T.StructType, prefix: str = "") -> list[tuple[str
 def schema_drift(a: DataFrame, b: DataFrame) -> DataFrame:
     """Fields that differ between two table contracts: missing on a side, other type, other nullability."""
     spark = a.sparkSession
-    names = "field string, type string, required boolean"
-    left = spark.createDataFrame(schema_rows(spark, a.schema), names).alias("l")
-    right = spark.createDataFrame(schema_rows(spark, b.schema), names).alias("r")
+    names = ("field", "type", "required")
+    left = scale.fixed_table(spark, names, schema_rows(a.schema)).alias("l")
+    right = scale.fixed_table(spark, names, schema_rows(b.schema)).alias("r")
     kind = (F.when(F.col("r.field").isNull(), "removed").when(F.col("l.field").isNull(), "added")
             .when(F.col("l.type") != F.col("r.type"), "type").when(F.col("l.required") != F.col("r.required"),
                                                                     "required"))
@@ -221,8 +221,7 @@ def enum_drift(df: DataFrame, declared: Mapping[str, Sequence[str]]) -> DataFram
     """Values found against the declared members of closed-set columns: (field, member, drift)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("member")) for f in declared]))
     found = df.select(pairs.alias("p")).select("p.*").filter("member IS NOT NULL").distinct()
-    known = df.sparkSession.createDataFrame([(f, m) for f, ms in declared.items() for m in ms],
-                                            "field string, member string")
+    known = scale.fixed_table(df.sparkSession, ("field", "member"), [(f, m) for f, ms in declared.items() for m in ms])
     return (found.withColumn("seen", F.lit(True))
             .join(known.withColumn("known", F.lit(True)), ["field", "member"], "full_outer")
             .select("field", "member", F.when(F.col("known").isNull(), "undeclared")

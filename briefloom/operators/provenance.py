@@ -31,17 +31,15 @@ def segment_arrays(docs: DataFrame) -> DataFrame:
     cleaned = F.filter(F.transform("pieces", lambda t, i: F.struct((i + 1).cast("long").alias("seg_no"),
                                                                   tx.strip(t).alias("text"))),
                        lambda s: s["text"] != "")
-    offsets = F.aggregate(
-        "cleaned", F.struct(F.array().cast("array<bigint>").alias("at"), F.lit(0).cast("long").alias("next")),
-        lambda a, s: F.struct(F.concat(a["at"], F.array(a["next"])).alias("at"),
-                              (a["next"] + F.length(s["text"]) + 2).alias("next")),
-        lambda a: a["at"])
+    # Keep only the running end of the text; a segment starts its own length before it.
+    ends = scale.scan(F.col("cleaned"), F.lit(-2), lambda at, s: at + 2 + F.length(s["text"]), lambda at: at,
+                      "bigint", "bigint")
     rest = [c for c in docs.columns if c != "pieces"]
-    return (docs.withColumn("cleaned", cleaned).withColumn("at", offsets)
+    return (docs.withColumn("cleaned", cleaned).withColumn("at", ends)
             .select(*rest, F.array_join(F.transform("cleaned", lambda s: s["text"]), "\n\n").alias("text"),
                     F.zip_with("cleaned", "at", lambda s, p: F.struct(
-                        s["seg_no"].alias("seg_no"), s["text"].alias("text"), p.alias("start"),
-                        (p + F.length(s["text"])).alias("end"))).alias("segs")))
+                        s["seg_no"].alias("seg_no"), s["text"].alias("text"),
+                        (p - F.length(s["text"])).alias("start"), p.alias("end"))).alias("segs")))
 
 
 def verify_offsets(docs: DataFrame) -> DataFrame:

@@ -3,3 +3,5 @@
 from briefloom.queries.registry import ORACLES, QUERIES  # noqa: F401
 from briefloom.queries import texts  # noqa: F401
 from briefloom.queries import checks  # noqa: F401
+from briefloom.queries import budgets  # noqa: F401
+from briefloom.queries import planning  # noqa: F401

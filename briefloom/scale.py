@@ -115,6 +115,36 @@ def position_chunk(column: str | Column, width: int = CHUNK) -> dict[str, Column
     return {"__chunk": F.floor(c / F.lit(width)).cast("long")}
 
 
+def scan(arr: Column, zero: Column, step, emit, state_type: str, out_type: str, width: int = 256) -> Column:
+    """Running fold over an array inside the row: ``emit(state)`` after every element.
+
+    The fold runs chunk by chunk, so growing the output copies at most one chunk at a time.
+    """
+    empty = F.array().cast(f"array<{out_type}>")
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(arr) - 1) / width).cast("int"))),
+                         lambda i: F.slice(arr, i * width + 1, F.lit(width)))
+
+    def within(acc: Column, x: Column) -> Column:
+        nxt = F.array(step(acc["s"], x).cast(state_type))
+        return F.element_at(F.transform(nxt, lambda s: F.struct(
+            s.alias("s"), F.concat(acc["out"], F.array(emit(s).cast(out_type))).alias("out"))), 1)
+
+    def across(acc: Column, chunk: Column) -> Column:
+        part = F.array(F.aggregate(chunk, F.struct(acc["s"].alias("s"), empty.alias("out")), within))
+        return F.element_at(F.transform(part, lambda p: F.struct(
+            p["s"].alias("s"), F.concat(acc["out"], F.array(p["out"])).alias("out"))), 1)
+
+    start = F.struct(zero.cast(state_type).alias("s"),
+                     F.array().cast(f"array<array<{out_type}>>").alias("out"))
+    return F.flatten(F.aggregate(chunks, start, across, lambda acc: acc["out"]))
+
+
+def fixed_table(spark, names: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
+    """A small table of literals, planned inside the JVM."""
+    cells = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+
+
 def shingles(text: Column, lengths: Column) -> Column:
     """Every distinct substring of ``text`` whose length is in ``lengths``."""
     return F.array_distinct(F.flatten(F.transform(

@@ -53,6 +53,30 @@ def sentence_blocks(spark: SparkSession, folder: str) -> DataFrame:
             .select("doc_id", "deck_uid", "slide_no", (F.col("p") + 1).cast("long").alias("block_no"), "content"))
 
 
+def plan_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with their lines as typed segments, one row per document."""
+    doc = F.col("doc_id")
+
+    def seg(line: Column, p: Column) -> Column:
+        i = (p + 1).cast("int")
+        head, table, cap = i % 5 == 1, i % 7 == 4, i % 7 == 5
+        t = tx.strip(line)
+        kind = (F.when(head, "heading").when(table, "table").when(cap, "caption").when(i % 9 == 7, "equation")
+                .when(i % 3 == 0, "list_item").otherwise("paragraph"))
+        text = (F.when(head, F.substring(t, 1, 40)).when(cap, F.concat(F.lit("Table "), i, F.lit(": "),
+                                                                      F.substring(t, 1, 30))).otherwise(t))
+        level = F.when(head, 1 + (F.floor(i / 5) + doc) % 3).otherwise(0).cast("int")
+        asset = F.when(~head & table, F.concat(F.lit("tbl-"), i)).when(~head & cap, F.concat(F.lit("tbl-"), i - 1))
+        return F.struct(i.cast("long").alias("seg_no"), kind.alias("kind"), text.alias("text"), level.alias("level"),
+                        asset.alias("asset_id"))
+
+    segs = F.filter(F.transform(F.split("text", "\n"), seg), lambda s: s["text"] != "")
+    docs = documents(spark, folder).select("doc_id", "deck_uid", segs.alias("segs"))
+    first = F.try_element_at("segs", F.lit(1))["text"]
+    return docs.select("doc_id", "deck_uid", F.when(doc % 4 == 0, first).otherwise(
+        F.concat(F.lit("Talk "), doc)).alias("title"), F.array(F.concat(F.lit("A"), doc)).alias("authors"), "segs")
+
+
 # ------------------------------------------------------------- numeric decks
 
 
