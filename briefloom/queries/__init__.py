@@ -9,3 +9,4 @@ from briefloom.queries import structure  # noqa: F401
 from briefloom.queries import pages  # noqa: F401
 from briefloom.queries import edits  # noqa: F401
 from briefloom.queries import requests  # noqa: F401
+from briefloom.queries import streams  # noqa: F401

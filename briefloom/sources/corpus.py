@@ -138,6 +138,11 @@ POSITION = ("line_no", "part_key", "supp_key", "units", "price_cents")
 
 
 def num_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return blocks_of(read(spark, folder, "lineitem"))
+
+
+def blocks_of(items: DataFrame) -> DataFrame:
+    """Line items as blocks; stateless, so it serves tables and streams alike."""
     line, part, supp = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     units = F.col("l_quantity").cast("int")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
@@ -146,7 +151,7 @@ def num_blocks(spark: SparkSession, folder: str) -> DataFrame:
     again = F.struct(supp.alias("doc_id"), (line * 10 + 100).alias("start"),
                      (line * 10 + 100 + units).alias("end"))
     none = F.array().cast("array<struct<doc_id:bigint,start:int,end:int>>")
-    return read(spark, folder, "lineitem").select(
+    return items.select(
         F.col("l_orderkey").alias("slide_uid"),
         F.concat_ws(".", "l_orderkey", line, part, supp, units, cents).alias("block_uid"),
         line.alias("line_no"), part.alias("part_key"), supp.alias("supp_key"), units.alias("units"),
