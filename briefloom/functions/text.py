@@ -60,16 +60,23 @@ def normalize_text(c: Column | str) -> Column:
     return F.coalesce(strip(out), F.lit(""))
 
 
+# A break ends a word: white space, ideographs and marks that count as white space.
+BREAK = IDEOGRAPHS + SILENT_MARKS + SPACE
+LETTER = rf"[\p{{L}}\p{{N}}&&[^{BREAK}]]"
+# A counted word, from its first letter or digit to the break that ends it. Possessive, so matching is linear.
+WORD = f"{LETTER}[^{BREAK}]*+"
+UNIT = f"(?:[{IDEOGRAPHS}]|{WORD})"
+GAP = rf"[^\p{{L}}\p{{N}}{IDEOGRAPHS}]"
+
+
 def count_units(c: Column | str, language: Column | str | None = None) -> Column:
     """Budget units: ideographs plus words; words alone where ``language`` is ``en``. Marks are free."""
     c = F.coalesce(col(c), F.lit(""))
-    spaced = sub(c, f"[{IDEOGRAPHS}{SILENT_MARKS}]", " ")
-    words = F.regexp_count(sub(spaced, rf"[^\p{{L}}\p{{N}}{SPACE}]+", ""), F.lit(f"[^{SPACE}]+"))
-    signs = F.regexp_count(c, F.lit(f"[{IDEOGRAPHS}]"))
+    units = F.regexp_count(c, F.lit(UNIT))
     if language is None:
-        return words + signs
+        return units
     lang = F.lit(language) if isinstance(language, str) else language
-    return words + F.when(lang == "en", F.lit(0)).otherwise(signs)
+    return F.when(lang == "en", F.regexp_count(c, F.lit(WORD))).otherwise(units)
 
 
 def _split_after(c: Column, marks: str, swallow: str = "") -> Column:
@@ -97,22 +104,44 @@ def tidy(c: Column | str) -> Column:
     return F.rtrim(strip(c), F.lit(TRAILING_MARKS))
 
 
+def _gauge(pieces: Column) -> Column:
+    """Pieces with what a running unit count needs, each measured once.
+
+    ``u`` units of the piece alone; ``h`` its first word starts at once and counts; ``t`` its last word runs to the
+    end and counts; ``b`` it holds a break. Joining two pieces loses a unit exactly when a counted word spans them.
+    """
+    return F.transform(pieces, lambda p: F.struct(
+        p.alias("p"), F.length(p).alias("n"), count_units(p).alias("u"), p.rlike(rf"^[^{BREAK}\p{{L}}\p{{N}}]*{LETTER}").alias("h"),
+        p.rlike(f"{LETTER}[^{BREAK}]*$").alias("t"), p.rlike(f"[{BREAK}]").alias("b")))
+
+
+def _joined_units(units: Column, tail: Column, g: Column) -> Column:
+    return units + g["u"] - F.when(tail & g["h"], 1).otherwise(0)
+
+
+def _joined_tail(tail: Column, g: Column) -> Column:
+    return g["t"] | (~g["b"] & tail)
+
+
 def _pack_clauses(parts: Column, limit: Column) -> Column:
     """Greedy packing of clauses up to ``limit`` units, with a short tail folded back."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("u"),
+                     F.lit(False).alias("t"))
 
-    def step(acc: Column, part: Column) -> Column:
-        joined = F.concat(acc["open"], part)
-        full = (acc["open"] != "") & (count_units(joined) > limit)
+    def step(acc: Column, g: Column) -> Column:
+        units = _joined_units(acc["u"], acc["t"], g)
+        full = (acc["open"] != "") & (units > limit)
         return F.struct(
             F.when(full, F.concat(acc["done"], F.array(tidy(acc["open"])))).otherwise(acc["done"]).alias("done"),
-            F.when(full, part).otherwise(joined).alias("open"))
+            F.when(full, g["p"]).otherwise(F.concat(acc["open"], g["p"])).alias("open"),
+            F.when(full, g["u"]).otherwise(units).alias("u"),
+            F.when(full, g["t"]).otherwise(_joined_tail(acc["t"], g)).alias("t"))
 
     def close(acc: Column) -> Column:
         return F.when(strip(acc["open"]) != "",
                       F.concat(acc["done"], F.array(tidy(acc["open"])))).otherwise(acc["done"])
 
-    packed = F.aggregate(parts, empty, step, close)
+    packed = F.aggregate(_gauge(parts), empty, step, close)
 
     def fold_tail(points: Column) -> Column:
         n = F.size(points)
@@ -144,35 +173,43 @@ def split_into_points(c: Column | str, limit: Column | int) -> Column:
     return F.element_at(F.transform(F.array(strip(c)), of_text), 1)
 
 
-def _longest_prefix(text: Column, cut: str, limit: Column) -> Column:
-    """Longest prefix ending at a cut that stays within ``limit`` units; null when none does."""
-    pieces = F.filter(F.split(text, cut), lambda p: p != "")
-    start = F.struct(F.lit("").alias("kept"), F.lit(False).alias("over"))
+def _longest_prefix(text: Column, marks: str, limit: int) -> Column:
+    """Longest prefix that ends right after one of ``marks`` and stays within ``limit`` units; null when none does.
+
+    One linear match finds where the first unit too many begins, a second the last mark before it."""
+    within = F.regexp_extract(text, rf"^(?:{GAP}*+{UNIT}){{0,{limit}}}+{GAP}*+", 0)
+    kept = strip(F.regexp_extract(within, f"(?s)^(.*[{marks}])", 1))
+    trimmed = F.rtrim(kept, F.lit(TRAILING_MARKS + "\u3000 "))
+    return F.when((kept != "") & (trimmed != ""), trimmed)
+
+
+def _prefix_by_column(text: Column, marks: str, limit: Column) -> Column:
+    """The same with a limit per row: units run along the pieces between marks."""
+    pieces = F.filter(F.split(text, f"(?<=[{marks}])"), lambda p: p != "")
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("u"), F.lit(False).alias("t"), F.lit(False).alias("over"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        joined = F.concat(acc["kept"], piece)
-        over = acc["over"] | (count_units(joined) > limit)
-        return F.struct(F.when(over, acc["kept"]).otherwise(joined).alias("kept"), over.alias("over"))
+    def step(acc: Column, g: Column) -> Column:
+        units = _joined_units(acc["u"], acc["t"], g)
+        over = acc["over"] | (units > limit)
+        return F.when(over, F.struct(acc["n"].alias("n"), acc["u"].alias("u"), acc["t"].alias("t"), F.lit(True).alias("over"))) \
+            .otherwise(F.struct((acc["n"] + g["n"]).alias("n"), units.alias("u"), _joined_tail(acc["t"], g).alias("t"),
+                                F.lit(False).alias("over")))
 
-    kept = strip(F.aggregate(pieces, start, step, lambda acc: acc["kept"]))
+    kept = strip(F.substr(text, F.lit(1), F.aggregate(_gauge(pieces), start, step, lambda acc: acc["n"])))
     trimmed = F.rtrim(kept, F.lit(TRAILING_MARKS + "\u3000 "))
-    return F.when((F.size(pieces) >= 2) & (kept != "") & (count_units(kept) <= limit) & (trimmed != ""), trimmed)
+    return F.when((F.size(pieces) >= 2) & (kept != "") & (trimmed != ""), trimmed)
 
 
 def shorten_to(c: Column | str, limit: Column | int) -> Column:
     """Trim to ``limit`` units at the best boundary: sentence, clause, then space; unchanged when none fits."""
     c = col(c)
-    limit = F.lit(limit) if isinstance(limit, int) else limit
+    cut = _longest_prefix if isinstance(limit, int) else _prefix_by_column
     return F.when(count_units(c) <= limit, c).otherwise(F.coalesce(
-        _longest_prefix(c, f"(?<=[{SENTENCE_ENDS}])", limit),
-        _longest_prefix(c, "(?<=[，,、])", limit),
-        _longest_prefix(c, f"(?<=[{SPACE}])", limit),
-        c))
+        cut(c, SENTENCE_ENDS, limit), cut(c, "，,、", limit), cut(c, SPACE, limit), c))
 
 
 def head_and_tail(c: Column | str, limit: Column | int) -> Column:
     """STRUCT(head, tail): what goes on the page and what is said."""
-    limit = F.lit(limit) if isinstance(limit, int) else limit
 
     def pair(head: Column, tail: Column) -> Column:
         return F.struct(head.alias("head"), tail.alias("tail"))
@@ -229,8 +266,8 @@ def split_claim(c: Column | str, limit: Column | int | None = None) -> Column:
             return F.when((F.size(pieces) <= 1) | (F.length(text) <= 30), pair(text, nothing)).otherwise(
                 pair(head, rest))
         cap = F.lit(limit) if isinstance(limit, int) else limit
-        whole = head_and_tail(text, cap)
-        lead = head_and_tail(head, cap)
+        whole = head_and_tail(text, limit)
+        lead = head_and_tail(head, limit)
         spill = F.when(lead["tail"] != "", strip(F.concat_ws(" ", lead["tail"], rest))).otherwise(rest)
         return F.when((F.size(pieces) <= 1) & (count_units(text) > cap), pair(whole["head"], whole["tail"])) \
             .when((F.size(pieces) <= 1) | (F.length(text) <= 30), pair(text, nothing)) \
