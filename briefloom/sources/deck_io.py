@@ -71,7 +71,7 @@ def write_decks(t: dict[str, DataFrame], path: str) -> None:
 
 def read_manuscripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(manuscript texts, refused files with the reason naming what is supported). One file is one row."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     known = suffix.isin(*SUPPORTED)
