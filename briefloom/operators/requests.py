@@ -96,7 +96,7 @@ def numbered_body(blocks: DataFrame) -> DataFrame:
     (tail_no) and by weakness (weak_no)."""
     on = blocks.filter(F.col("channel") == "slide").withColumn("is_visual", md.is_visual())
     at = {"__c": F.floor(F.col("block_no") / 4096)}
-    on = scale.running(on, ["slide_uid"], at, ["block_no"], number="on_no")
+    on = cut_lineage(scale.running(on, ["slide_uid"], at, ["block_no"], number="on_no"))
     text = on.filter(~F.col("is_visual"))
     text = scale.running(text, ["slide_uid"], at, ["block_no"], number="body_no")
     text = scale.running(text, ["slide_uid"], {"__c": -F.floor(F.col("block_no") / 4096)}, [F.desc("block_no")], number="tail_no")

@@ -443,3 +443,37 @@ def slot_capacity(spark, sf):
     return c.read(spark, sf, "part").select("p_partkey", ms.capacity_units(
         200.0 + n % 40 * 10, 60.0 + n % 17 * 15, 14.0 + n % 10, F.when(n % 2 == 0, "zh").otherwise("en")).alias("units"),
         ms.lines_available(60.0 + n % 17 * 15, 14.0 + n % 10, F.when(n % 2 == 0, 1.42).otherwise(1.2)).alias("lines"))
+
+
+@query("overflow_repair", b.with_(b.SLIDES, b.BLOCKS, """
+tot AS (SELECT slide_uid, sum(units) AS used FROM blocks WHERE channel = 'slide' AND NOT is_visual GROUP BY slide_uid),
+mv AS (SELECT *, row_number() OVER (PARTITION BY slide_uid ORDER BY importance_milli, block_no) AS k FROM blocks
+       WHERE channel = 'slide' AND NOT is_visual AND NOT pinned),
+run AS (SELECT mv.*, used - coalesce(sum(units) OVER (PARTITION BY slide_uid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_
+        FROM mv JOIN tot USING (slide_uid))""", body="""
+SELECT slide_uid, block_uid, CAST(k AS INTEGER) AS round FROM run WHERE k <= 3 AND left_ > 60"""))
+def overflow_repair(spark, sf):
+    from briefloom.plans import repair
+
+    t = c.deck_tables(spark, sf)
+    _, moves = repair.overflow_repair(t.slides, t.blocks, F.struct(*c.POSITION), repair.over_by_units(F.lit(60)))
+    return moves.select("slide_uid", "block_uid", "round")
+
+
+@query("render_summary", b.with_(b.SLIDES, b.BLOCKS, """
+m AS (SELECT deck_uid, slide_uid, 14 + units % 5 AS size, units / 40.0 AS ratio FROM blocks JOIN slides USING (slide_uid))""", body="""
+SELECT deck_uid, count(DISTINCT slide_uid) AS slides, count(DISTINCT CASE WHEN ratio > 1 THEN slide_uid END) AS over,
+       count(*) FILTER (size < 18 AND ratio <= 1) AS shrunk FROM m GROUP BY deck_uid"""))
+def render_summary(spark, sf):
+    t = c.deck_tables(spark, sf)
+    m = t.blocks.join(t.slides.select("slide_uid", "deck_uid"), "slide_uid").select(
+        "deck_uid", "slide_uid", F.lit(18).alias("nominal"), (14 + F.col("units") % 5).alias("size"), (F.col("units") / 40).alias("ratio"))
+    return pg.slot_fits(m)
+
+
+@query("segments_from_lines")
+def segments_from_lines(spark, sf):
+    """Lines to placed segments in one call; its steps are checked one by one elsewhere."""
+    from briefloom.plans import segment
+
+    return segment.segment_documents(doc_lines(spark, sf))

@@ -2,7 +2,8 @@
 
 A plain window puts a whole group into one task. The helpers here cut each group into chunks that follow the
 window order, work inside the chunks, and add what the earlier chunks contribute. Only one row per chunk meets
-in the carry step, so a group of any size spreads over the cluster.
+in the carry step, so a group of any size spreads over the cluster. Each helper reads its input twice (rows and chunk
+totals), so callers that chain several of them cut the lineage in between.
 """
 
 from __future__ import annotations

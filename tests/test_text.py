@@ -133,3 +133,14 @@ def test_capacity_is_a_sound_bound(spark, lang):
     for r in got:
         assert r.n == 0 or fits(r.n, r)
     assert any(r.n > 0 for r in got)
+
+
+def test_table_function_equals_the_expression(spark):
+    from briefloom.functions import udtf
+
+    udtf.register(spark)
+    texts = ["one two, three four. five six; seven", "甲甲甲甲甲甲，乙乙乙乙乙乙，丙", "", "short"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").createOrReplaceTempView("txt")
+    sql = spark.sql("SELECT i, point_no, point FROM txt, LATERAL points(t, 5)").collect()
+    cols = spark.table("txt").select("i", F.posexplode(tx.split_into_points("t", 5)).alias("p", "point")).collect()
+    assert sorted((r.i, r.point_no, r.point) for r in sql) == sorted((r.i, r.p + 1, r.point) for r in cols)
