@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.llm import bpe, preferences, secrets, toxicity, urls
+from briefloom.llm import bpe, decontam, neardup, preferences, quality, secrets, toxicity, urls
 from briefloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,21 @@ def op5_preferences(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_secrets")
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents", ["doc_id", "text"]))
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", ["doc_id", "text"])
+    return quality.with_quality(docs, quality.learn(docs)).drop("text")
+
+
+@query("op7_near_dedup")
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_groups(table(spark, folder, "documents", ["doc_id", "text"])).drop("rowkey")
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", ["doc_id", "text"])
+    found = decontam.with_matches(docs, table(spark, folder, "benchmark", ["item_id", "text"])).drop("text")
+    return found.withColumn("contaminated", F.size("bench_items") > 0)
