@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.llm import bpe, decontam, neardup, preferences, quality, secrets, toxicity, urls
+from briefloom.llm import bpe, decontam, fingerprints, neardup, preferences, quality, secrets, toxicity, urls
 from briefloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", ["doc_id", "text"])
     found = decontam.with_matches(docs, table(spark, folder, "benchmark", ["item_id", "text"])).drop("text")
     return found.withColumn("contaminated", F.size("bench_items") > 0)
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, folder, "documents", ["doc_id", "text"]))
