@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.llm import bpe, decontam, fingerprints, neardup, preferences, quality, secrets, toxicity, urls
+from briefloom.llm import bpe, decontam, fingerprints, neardup, pii, preferences, quality, secrets, toxicity, urls
 from briefloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_fingerprints")
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, folder, "documents", ["doc_id", "text"]))
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scanned(table(spark, folder, "documents", ["doc_id", "text"]))
