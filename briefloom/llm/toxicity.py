@@ -39,6 +39,7 @@ GLYPHS = str.maketrans(HOMOGLYPHS)
 DIGITS = str.maketrans(SUBSTITUTES)
 MAX_TOXIC, MAX_CLEAN = 4000, 12000  # expected bounds of the labelled sample that the lexicon is learned from
 SHORTEST, LONGEST = 4, 8  # letters of a learned word beginning
+LEAST_ODDS = math.log(20.0)  # an entry is at least so much likelier in toxic rows; what exceeds it counts as purity
 
 
 def _word(token: str) -> str:
@@ -160,7 +161,7 @@ def _cover(lists: Sequence[Sequence[str]], odds: dict[str, float], least: int) -
             where.setdefault(t, set()).add(i)
     chosen: list[str] = []
     while where:
-        best = max(where, key=lambda t: (len(where[t]) * odds[t], len(t), t))
+        best = max(where, key=lambda t: (len(where[t]) * (odds[t] - LEAST_ODDS), len(t), t))
         got = where.pop(best)
         if len(got) < least:
             break
@@ -215,7 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MAX_TOXIC, most_
     counted = (listed.select("toxic", F.explode("terms").alias("term")).groupBy("term")
                .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
                .withColumn("odds", F.log(((F.col("t") + 0.1) / F.lit(toxic + 1.0)) / ((F.col("c") + 0.1) / F.lit(clean + 1.0))))
-               .filter((F.col("t") >= least) & (F.col("odds") > math.log(20.0))))
+               .filter((F.col("t") >= least) & (F.col("odds") > LEAST_ODDS)))
     good = listed.filter("toxic = 1").withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("terms").alias("term"))
     per_row = good.join(counted, "term").groupBy("row").agg(F.collect_list("term").alias("terms")).select("terms").collect()
     odds = {r["term"]: float(r["odds"]) for r in counted.select("term", "odds").collect()}
