@@ -9,7 +9,9 @@ rank. Two documents agree in a coordinate with probability equal to their simila
 Joining: copies of the same words collapse to one node first. In every band bucket members meet only the bucket's
 centre (the node with most copies); links are verified on the whole texts. Members of a bucket that the verified
 links leave in different components then meet each other, so no candidate link between different components is left
-unseen, and a group of thousands of copies costs links in proportion to its members.
+unseen, and a group of thousands of copies costs links in proportion to its members. Before they meet, an exact bound
+spares pairs that cannot be similar: two texts share no more than either's weight in shingles that occur in another
+open text at all, and at similarity s they must share s / (1 + s) of their total weight.
 """
 
 from __future__ import annotations
@@ -132,6 +134,31 @@ def similar(pairs: DataFrame, least: float, width: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def weighed(texts: DataFrame, width: int) -> DataFrame:
+    """(node, component, cell, weight): the shingles of each text, and one row per text with its total under no cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, component = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for w in words(batch.column(2)):
+                h, row, _ = w.shingles(width)
+                cells, owner, n = counted(h, row)
+                part = slice(w.first, w.first + w.rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([node[part][owner], node[part]])), pa.array(np.concatenate([component[part][owner], component[part]])),
+                     pa.array(np.concatenate([cells.view(np.int64), node[part]]), mask=np.repeat([False, True], [len(cells), w.rows])),
+                     pa.array(np.concatenate([n, np.bincount(row, minlength=w.rows)]))], names=["node", "component", "cell", "weight"])
+
+    return texts.select("node", "component", "text").mapInArrow(run, "node long, component long, cell long, weight long")
+
+
+def profiles(texts: DataFrame, width: int) -> DataFrame:
+    """(node, size, common): total weight of the shingles, and the weight of those that a text of another component has."""
+    rows = cut_lineage(weighed(texts, width))
+    met = rows.filter("cell IS NOT NULL").groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    common = rows.join(met.select("cell"), "cell", "left_semi").groupBy("node").agg(F.sum("weight").alias("common"))
+    return rows.filter("cell IS NULL").select("node", F.col("weight").alias("size")).join(common, "node")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; the component is its least node.
 
@@ -185,12 +212,21 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     links = cut_lineage(verified(star))
     labels = components(links)
     coloured = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = coloured.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = cut_lineage(coloured.join(mixed, "bucket"))
-    one = open_.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
+    mixed = lambda df: df.join(df.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                               .filter("lo <> hi").select("bucket"), "bucket")
+    open_ = cut_lineage(mixed(coloured))
+    able = open_
+    for _ in range(2):  # what the first bound sets aside no longer counts in the second
+        profile = profiles(able.select("node", "component").distinct().join(texts, "node"), width)
+        able = cut_lineage(mixed(able.select("bucket", "node", "component").join(profile.filter(F.col("common") >= F.col("size") * least), "node")))
+    side = able.join(nodes.select("node", "bands"), "node")
+    one = side.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("common").alias("ma"), F.col("bands").alias("ba"))
+    two = side.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("common").alias("mb"), F.col("bands").alias("bb"))
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = ordered(one.join(two, "bucket").filter("ca < cb")).distinct().join(ordered(star), ["a", "b"], "left_anti")
+    could = (F.col("ca") < F.col("cb")) & (F.least("ma", "mb") * (1 + least) >= (F.col("sa") + F.col("sb")) * least - 1e-6)
+    # A pair comes from the first bucket it shares, so it comes once.
+    met = one.join(two, (one["bucket"] == two["bucket"]) & could & (F.get(F.array_intersect("ba", "bb"), F.lit(0)) == one["bucket"]))
+    rest = ordered(met).join(ordered(star), ["a", "b"], "left_anti")
     more = cut_lineage(verified(rest))
     final = components(links.unionAll(more))
     named = nodes.join(final, "node", "left").select("node", "n", "rep", F.coalesce("component", "node").alias("component"))
