@@ -153,20 +153,18 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     base = (docs.select(F.col(key).alias("key"), value.alias("text")).withColumn("h", F.xxhash64("text"))
             .withColumn("chunk", F.when(F.col("key").isNull(), F.shiftright("h", 54) - 1024)
                         .otherwise(F.floor((F.col("key") - F.lit(lo)) / F.lit(width)).cast("long"))))
-    order = F.struct(F.col("key"), F.col("h"))
-    firsts = base.groupBy("chunk").agg(F.min(order).alias("first"))
     inner = Window.partitionBy("above").orderBy("chunk")
-    marks = firsts.select("chunk", F.shiftright("chunk", 10).alias("above"))
+    marks = base.select("chunk").distinct().withColumn("above", F.shiftright("chunk", 10))
     tops = marks.groupBy("above").agg(F.min("chunk").alias("head"))
     # One row per 2**18 documents.
     beyond = tops.select("above", F.coalesce(F.lead("head").over(Window.orderBy("above")), F.min("head").over(Window.partitionBy())).alias("beyond"))
     follows = (marks.withColumn("inside", F.lead("chunk").over(inner)).join(beyond, "above")
                .select("chunk", F.coalesce("inside", "beyond").alias("follower")))
-    heads = (base.join(firsts.select(F.col("chunk").alias("c"), F.col("first.key").alias("k"), F.col("first.h").alias("fh")),
-                       (F.col("chunk") == F.col("c")) & F.col("key").eqNullSafe(F.col("k")) & (F.col("h") == F.col("fh")))
-             .select(F.col("chunk").alias("follower"), F.col("text").alias("head_text")).dropDuplicates(["follower"]))
-    after = follows.join(heads, "follower").select(F.col("chunk").alias("__chunk"), "head_text")
     rows = Window.partitionBy("chunk").orderBy("key", "h")
+    # Only the first row of each range per task is shuffled here: Spark limits the groups before the exchange.
+    heads = (base.withColumn("place", F.row_number().over(rows)).filter("place = 1")
+             .select(F.col("chunk").alias("follower"), F.col("text").alias("head_text")))
+    after = follows.join(heads, "follower").select(F.col("chunk").alias("__chunk"), "head_text")
     led = base.withColumn("led", F.lead("text").over(rows))
     return (led.join(after, F.col("chunk") == F.col("__chunk"), "left")
             .select(F.col("key").alias(key), "text", F.coalesce("led", "head_text").alias("next_text")))
