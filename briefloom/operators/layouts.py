@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from briefloom import scale
 from briefloom.operators import model as md
@@ -75,8 +76,8 @@ def missing_roles(slides: DataFrame, layouts: DataFrame) -> DataFrame:
 def layouts_for(layouts: DataFrame, slots: DataFrame, role: str) -> DataFrame:
     """Candidates for a role, ordered by capacity (rank 1 first)."""
     f = layout_features(layouts, slots).filter(F.array_contains("roles", role))
-    return scale.top_rows(f.select("template_id", "layout_id", "layout_no", "text_units"), ["template_id"],
-                          [F.desc("text_units"), F.asc("layout_no")], 1000)
+    order = Window.partitionBy("template_id").orderBy(F.desc("text_units"), F.asc("layout_no"))
+    return f.select("template_id", "layout_id", "layout_no", "text_units").withColumn("rank", F.row_number().over(order))
 
 
 def classify_layout(features: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def slide_needs(slides: DataFrame, blocks: DataFrame) -> DataFrame:
     shown = blocks.filter(F.col("channel") == "slide").groupBy("slide_uid").agg(
         F.count_if(md.is_visual()).alias("v"), F.count_if(~md.is_visual() & (F.col("type") != "note")).alias("t"))
     return (slides.join(shown, "slide_uid", "left")
-            .withColumn("wants_visual", F.least(F.coalesce("v", F.lit(0)), F.lit(1000)))
+            .withColumn("wants_visual", F.coalesce("v", F.lit(0)))
             .withColumn("wants_text", F.least(F.coalesce("t", F.lit(0)), F.lit(5))).drop("v", "t"))
 
 

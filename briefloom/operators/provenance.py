@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from briefloom import scale
 from briefloom.functions import text as tx
 
-QUOTE_CHARS = 2000
-
 
 def assign_offsets(segments: DataFrame, separator: int = 2) -> DataFrame:
     """start/end of each cleaned, non-empty segment in the joined text of its document.
@@ -63,11 +61,11 @@ def asset_span_problems(spans: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def resolve_spans(spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each span with the text it cites (at most 2000 characters).
+    """Each span with the whole text it cites.
 
     The join key is the document; adaptive execution splits a document that most spans cite.
     """
-    quote = F.substr(F.col("text"), F.col("start") + 1, F.least(F.col("end") - F.col("start"), F.lit(QUOTE_CHARS)))
+    quote = F.substr(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
     return spans.join(docs, "doc_id").withColumn("quote", quote).drop("text")
 
 

@@ -23,8 +23,8 @@ segs0 AS (
   SELECT doc_id, i AS seg_no,
          CASE WHEN i % 5 = 1 THEN 'heading' WHEN i % 7 = 4 THEN 'table' WHEN i % 7 = 5 THEN 'caption'
               WHEN i % 9 = 7 THEN 'equation' WHEN i % 3 = 0 THEN 'list_item' ELSE 'paragraph' END AS kind,
-         CASE WHEN i % 5 = 1 THEN substr(t, 1, 40) WHEN i % 7 = 4 THEN t
-              WHEN i % 7 = 5 THEN 'Table ' || i || ': ' || substr(t, 1, 30) ELSE t END AS text,
+         CASE WHEN i % 5 = 1 THEN t WHEN i % 7 = 4 THEN t
+              WHEN i % 7 = 5 THEN 'Table ' || i || ': ' || t ELSE t END AS text,
          CASE WHEN i % 5 = 1 THEN 1 + (i // 5 + doc_id) % 3 ELSE 0 END AS level,
          CASE WHEN i % 5 <> 1 AND i % 7 = 4 THEN 'tbl-' || i WHEN i % 5 <> 1 AND i % 7 = 5 THEN 'tbl-' || (i - 1) END
            AS asset_id

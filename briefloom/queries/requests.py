@@ -25,7 +25,7 @@ def _sql_list(items) -> str:
 
 
 def slides(spark, sf):
-    s = c.num_slides(spark, sf).filter("deck_uid < 150")
+    s = c.num_slides(spark, sf)
     from briefloom import scale
 
     chunk = {"__c1": F.col("section_no"), "__c2": F.floor(F.col("slide_no") / 65536)}
@@ -36,7 +36,7 @@ def slides(spark, sf):
 
 
 def blocks(spark, sf):
-    d = c.num_slides(spark, sf).filter("deck_uid < 150").select("slide_uid", "deck_uid")
+    d = c.num_slides(spark, sf).select("slide_uid", "deck_uid")
     n = c.numbered_blocks(c.num_blocks(spark, sf)).join(d, "slide_uid")
     said = F.when(F.col("part_key") % 9 == 0, F.concat(F.lit("本研究创新"), "part_key")).otherwise(F.concat(F.lit("item "), "part_key"))
     # Read by every rule, so written once rather than derived again for each.
@@ -57,7 +57,7 @@ def utterances(spark, sf, s=None, bl=None):
     pick = F.when((e % 6 == 0) & F.col("fs").isNotNull(), F.array("fs")).when((e % 6 == 3) & F.col("fb").isNotNull(), F.array("fb")) \
         .otherwise(F.array().cast("array<string>"))
     said = c.read(spark, sf, "conversations").filter("role = 'user'").select(
-        (-1 - F.col("conv_id") * 100 - F.col("turn")).alias("utt_id"), (F.col("conv_id") % 150).alias("deck_uid"), "text",
+        (-1 - F.col("conv_id") * 100 - F.col("turn")).alias("utt_id"), F.col("conv_id").alias("deck_uid"), "text",
         F.array().cast("array<string>").alias("selection"))
     return r.select(e.alias("utt_id"), "deck_uid", "text", pick.alias("selection")).unionByName(said)
 
@@ -65,7 +65,7 @@ def utterances(spark, sf, s=None, bl=None):
 USQL = f"""rs AS (
   SELECT deck_uid, CAST(slide_uid AS VARCHAR) AS slide_uid, row_number() OVER (PARTITION BY deck_uid ORDER BY section_no, slide_no) AS page_no,
          {_sql_list(TITLES)}[slide_uid % 7 + 1] AS title, CASE WHEN slide_uid % 4 <> 0 THEN CAST(20 + slide_uid % 9 AS DOUBLE) END AS dwell
-  FROM slides WHERE deck_uid < 150),
+  FROM slides),
 rb AS (
   SELECT rs.deck_uid, rs.slide_uid, block_uid, block_no, CASE WHEN part_key % 9 = 0 THEN '本研究创新' ELSE 'item ' END || part_key AS content,
          channel, is_visual, pinned, importance_milli, asset_ref, units AS word_budget
@@ -75,7 +75,7 @@ utt AS (
          CASE WHEN event_id % 6 = 0 AND fs IS NOT NULL THEN fs WHEN event_id % 6 = 3 AND fb IS NOT NULL THEN fb END AS pick
   FROM events LEFT JOIN (SELECT deck_uid, min(slide_uid) AS fs FROM rs GROUP BY 1) a ON a.deck_uid = user_id
   LEFT JOIN (SELECT deck_uid, min(block_uid) AS fb FROM rb GROUP BY 1) b ON b.deck_uid = user_id
-  UNION ALL SELECT -1 - conv_id * 100 - turn, conv_id % 150, {b.strip('text')}, NULL FROM conversations WHERE role = 'user'),
+  UNION ALL SELECT -1 - conv_id * 100 - turn, conv_id, {b.strip('text')}, NULL FROM conversations WHERE role = 'user'),
 num AS (
   SELECT *, CASE WHEN regexp_matches(text, '第[0-9]+页') THEN CAST(regexp_extract(text, '第([0-9]+)页', 1) AS INTEGER)
               WHEN regexp_matches(text, '第[一二两三四五六七八九十]+页') THEN
@@ -109,9 +109,9 @@ def facts(spark, sf):
     return cut_lineage(rq.request_facts(utterances(spark, sf, s, bl), s, bl)), s, bl
 
 
-@query("utterance_numbers", b.with_(b.SLIDES, b.BLOCKS, USQL, body="SELECT utt_id, page, item, n_take, seconds FROM num WHERE utt_id >= 0"))
+@query("utterance_numbers", b.with_(b.SLIDES, b.BLOCKS, USQL, body="SELECT utt_id, page, item, n_take, seconds FROM num"))
 def utterance_numbers(spark, sf):
-    u = utterances(spark, sf).filter("utt_id >= 0")
+    u = utterances(spark, sf)
     return u.select("utt_id", cues.ordinal("text", "页").alias("page"), cues.ordinal("text", "条").alias("item"),
                     cues.count_phrase("text").alias("n_take"), cues.duration_seconds("text").alias("seconds"))
 

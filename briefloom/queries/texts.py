@@ -182,7 +182,7 @@ def labels_clipped(spark, sf):
 
 
 @query("titles_tidied", b.with_(b.LINES, f"""
-t AS (SELECT doc_id, slide_no, slide_no || '.' || doc_id % 4 || ' ' || substr(line, 1, 40) AS title FROM lines)""",
+t AS (SELECT doc_id, slide_no, slide_no || '.' || doc_id % 4 || ' ' || line AS title FROM lines)""",
                                 body=f"""
 SELECT doc_id, slide_no,
        CASE WHEN {b.strip("regexp_replace(title, '^[0-9]+(?:[.][0-9]+)* *[.、]? *', '')")} = '' THEN '内容'
@@ -191,7 +191,7 @@ SELECT doc_id, slide_no,
        trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') AS slug
 FROM t"""))
 def titles_tidied(spark, sf):
-    title = F.concat(F.col("slide_no"), F.lit("."), F.col("doc_id") % 4, F.lit(" "), F.substring("line", 1, 40))
+    title = F.concat(F.col("slide_no"), F.lit("."), F.col("doc_id") % 4, F.lit(" "), F.col("line"))
     t = c.lines(spark, sf).select("doc_id", "slide_no", title.alias("title"))
     marked = F.when(F.col("slide_no") % 3 == 0, tx.continued_title("title")).otherwise(F.col("title"))
     return t.select("doc_id", "slide_no", tx.tidy_title("title").alias("tidied"),

@@ -63,8 +63,7 @@ def plan_documents(spark: SparkSession, folder: str) -> DataFrame:
         t = tx.strip(line)
         kind = (F.when(head, "heading").when(table, "table").when(cap, "caption").when(i % 9 == 7, "equation")
                 .when(i % 3 == 0, "list_item").otherwise("paragraph"))
-        text = (F.when(head, F.substring(t, 1, 40)).when(cap, F.concat(F.lit("Table "), i, F.lit(": "),
-                                                                      F.substring(t, 1, 30))).otherwise(t))
+        text = (F.when(cap & ~head, F.concat(F.lit("Table "), i, F.lit(": "), t)).otherwise(t))
         level = F.when(head, 1 + (F.floor(i / 5) + doc) % 3).otherwise(0).cast("int")
         asset = F.when(~head & table, F.concat(F.lit("tbl-"), i)).when(~head & cap, F.concat(F.lit("tbl-"), i - 1))
         return F.struct(i.cast("long").alias("seg_no"), kind.alias("kind"), text.alias("text"), level.alias("level"),

@@ -6,8 +6,6 @@ check. Sinks write one folder per micro-batch, which makes a repeated batch over
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,16 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from briefloom import session
 from briefloom.operators import edits as ed
 from briefloom.operators import validate as va
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the place the cluster names for checkpoints; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="briefloom-st-", dir="/tmp"), name)
+    """A fresh folder in the place the cluster names for checkpoints; only a local session may name none."""
+    return f"{session.shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def log_stream(spark: SparkSession, folder: str, file: str, schema: T.StructType) -> DataFrame:
