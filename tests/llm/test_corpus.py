@@ -224,7 +224,7 @@ def test_preferences_of_odd_tables(spark):
         by[r["pair"], r["part"]].append((r["rendered"], r["start"], r["end"], r["train"]))
     assert [x[0] for x in by[1, "prompt"]] == ["<|user|>\nhi<|end|>\n", "<|assistant|>\nyes<|end|>\n", "<|assistant|>\nyes<|end|>\n"]
     assert (1, "chosen") not in by
-    assert by[None, "chosen"] == [("<|assistant|>\nx<|end|>\n", 0, 22, 1)] and by[None, "rejected"][0][0] == "<|assistant|>\n<|end|>\n"
+    assert by[None, "chosen"] == [("<|assistant|>\nx<|end|>\n", 0, 23, 1)] and by[None, "rejected"][0][0] == "<|assistant|>\n<|end|>\n"
     assert by[3, "prompt"][0][3] == 0 and by[2, "prompt"][0][0] == "<|unknown|>\n<|end|>\n"
     none = spark.createDataFrame([], table.schema)
     assert preferences.format_pairs(*preferences.parroted(none)).count() == 0
@@ -374,6 +374,8 @@ def brute_matches(text, items, least=0.8):
             continue
         width, size = min(5, len(own)), min(len(own), len(words))
         want = shingle_counts(own, width)
+        if not want.keys() & shingle_counts(words, width).keys():
+            continue
         best = max((likeness(shingle_counts(words[i:i + size], width), want) if size >= width else 0.0 for i in range(len(words) - size + 1)), default=0.0)
         if best >= least:
             out[k] = best
