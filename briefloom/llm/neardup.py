@@ -7,11 +7,15 @@ times its length. Every coordinate keeps its earliest dart; a document with an e
 rank. Two documents agree in a coordinate with probability equal to their similarity.
 
 Joining: copies of the same words collapse to one node first. In every band bucket members meet only the bucket's
-centre (the node with most copies); links are verified on the whole texts. Members of a bucket that the verified
-links leave in different components then meet each other, so no candidate link between different components is left
-unseen, and a group of thousands of copies costs links in proportion to its members. Before they meet, an exact bound
-spares pairs that cannot be similar: two texts share no more than either's weight in shingles that occur in another
-open text at all, and at similarity s they must share s / (1 + s) of their total weight.
+centre (the node that meets most others in all its buckets); links are verified on the whole texts. Members of a bucket
+that the verified links leave in different components then meet each other, so no candidate link between different
+components is left unseen, and a group of thousands of copies costs links in proportion to its members. Exact bounds
+spare pairs that cannot be similar. At similarity s two texts share s / (1 + s) of their total weight, and
+
+* no more than either's weight in shingles that occur in an open text of another component at all;
+* with all shingles in one order, rarest first, the first one they share has little of either text before it: at most
+  1 - s of the larger and 1 - 2 s / (1 + s) of the smaller. If it is one of the shingles of at most ``RARE`` texts, both
+  texts have it there; if not, all they share is frequent, so they share no more than either's weight in such.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +35,7 @@ from briefloom.llm.shared import cut_lineage, shared_folder
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5  # a pair at 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6
+RARE = 16  # texts that hold a shingle; decides which of two exact bounds is tried, never the result
 NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -151,12 +156,25 @@ def weighed(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("node", "component", "text").mapInArrow(run, "node long, component long, cell long, weight long")
 
 
-def profiles(texts: DataFrame, width: int) -> DataFrame:
-    """(node, size, common): total weight of the shingles, and the weight of those that a text of another component has."""
+def profiles(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Per text the weights and shingles of the bounds; only shingles that a text of another component has count.
+
+    ``size`` is the weight of all shingles, ``common`` of those that count, ``often`` of those among them that more than
+    ``RARE`` texts have. ``early`` and ``first`` are the others that stand where the first shared shingle of the larger
+    and of the smaller of two similar texts can stand. Texts that share nothing have no row.
+    """
     rows = cut_lineage(weighed(texts, width))
-    met = rows.filter("cell IS NOT NULL").groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    common = rows.join(met.select("cell"), "cell", "left_semi").groupBy("node").agg(F.sum("weight").alias("common"))
-    return rows.filter("cell IS NULL").select("node", F.col("weight").alias("size")).join(common, "node")
+    met = (rows.filter("cell IS NOT NULL").groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("texts"))
+           .filter("lo <> hi").select("cell", "texts"))
+    size = rows.filter("cell IS NULL").select("node", F.col("weight").alias("size"))
+    placed = (rows.select("node", "cell", "weight").join(met, "cell").join(size, "node")
+              .withColumn("common", F.sum("weight").over(Window.partitionBy("node")))
+              .withColumn("upto", F.sum("weight").over(Window.partitionBy("node").orderBy("texts", "cell"))))
+    before = F.col("size") - F.col("common") + F.col("upto") - F.col("weight")
+    stands = lambda share: F.when((F.col("texts") <= RARE) & (before <= F.col("size") * share + 1e-6), F.col("cell"))
+    return placed.groupBy("node", "size", "common").agg(
+        F.sum(F.when(F.col("texts") > RARE, F.col("weight")).otherwise(0)).alias("often"),
+        F.collect_list(stands(1 - least)).alias("early"), F.collect_list(stands((1 - least) / (1 + least))).alias("first"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,9 +211,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     nodes = cut_lineage(rowset.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "rowkey")).alias("rep"),
                                                    F.first("bands").alias("bands")))
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    centres = (buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("n", "node")).alias("top"))
-               .filter("c > 1").select("bucket", F.col("top.node").alias("centre")))
-    shared = cut_lineage(buckets.select("bucket", "node").join(centres, "bucket"))
+    several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    meeting = cut_lineage(buckets.join(several, "bucket"))
+    reach = meeting.groupBy("node").agg(F.sum("c").alias("reach"))
+    centres = (meeting.join(reach, "node").groupBy("bucket").agg(F.max(F.struct("reach", "n", "node")).alias("top"))
+               .select("bucket", F.col("top.node").alias("centre")))
+    shared = cut_lineage(meeting.select("bucket", "node").join(centres, "bucket"))
     place = f"{shared_folder(spark).rstrip('/')}/neardup-{uuid.uuid4().hex}"
     needed = shared.select("node").distinct().join(nodes.select("node", F.col("rep.rowkey").alias("rowkey")), "node")
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -217,15 +238,19 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     open_ = cut_lineage(mixed(coloured))
     able = open_
     for _ in range(2):  # what the first bound sets aside no longer counts in the second
-        profile = profiles(able.select("node", "component").distinct().join(texts, "node"), width)
-        able = cut_lineage(mixed(able.select("bucket", "node", "component").join(profile.filter(F.col("common") >= F.col("size") * least), "node")))
-    side = able.join(nodes.select("node", "bands"), "node")
-    one = side.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("common").alias("ma"), F.col("bands").alias("ba"))
-    two = side.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("common").alias("mb"), F.col("bands").alias("bb"))
+        profile = cut_lineage(profiles(able.select("node", "component").distinct().join(texts, "node"), width, least)
+                              .filter(F.col("common") >= F.col("size") * least))
+        able = cut_lineage(mixed(able.select("bucket", "node", "component").join(profile.select("node"), "node")))
+    side = able.join(profile, "node").join(nodes.select("node", "bands"), "node")
+    named_as = lambda x: side.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in side.columns if c != "bucket"])
+    one, two = named_as("a"), named_as("b").withColumnRenamed("bucket", "bucket_b")
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    could = (F.col("ca") < F.col("cb")) & (F.least("ma", "mb") * (1 + least) >= (F.col("sa") + F.col("sb")) * least - 1e-6)
+    enough = lambda c: F.least(f"{c}_a", f"{c}_b") * (1 + least) >= (F.col("size_a") + F.col("size_b")) * least - 1e-6
+    rarely = F.when(F.col("size_a") <= F.col("size_b"), F.arrays_overlap("first_a", "early_b")).otherwise(F.arrays_overlap("early_a", "first_b"))
     # A pair comes from the first bucket it shares, so it comes once.
-    met = one.join(two, (one["bucket"] == two["bucket"]) & could & (F.get(F.array_intersect("ba", "bb"), F.lit(0)) == one["bucket"]))
+    once = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("bucket")
+    met = (one.join(two, (F.col("bucket") == F.col("bucket_b")) & (F.col("component_a") < F.col("component_b")) & enough("size") & enough("common")
+                    & (enough("often") | rarely) & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     rest = ordered(met).join(ordered(star), ["a", "b"], "left_anti")
     more = cut_lineage(verified(rest))
     final = components(links.unionAll(more))
