@@ -8,17 +8,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
+from briefloom.llm.shared import cut_lineage
 from briefloom.scale import running
 
 CHUNK = 1024
+BOUNDS = 255  # rows that cut the table into ranges, about equally many rows each
+SHOWN = 100  # characters of text that a bound compares
+
+
+def ranges(turns: DataFrame, order: list[str]) -> Column:
+    """The number of bounds at or before a row; bounds are rows drawn at random, in ``order``.
+
+    A conversation of any size is cut where its rows are, also if they share turn and role. Rows of one turn
+    and role stay together only where their first ``SHOWN`` characters agree.
+    """
+    schema = StructType([f for n in order for f in turns.schema.fields if f.name == n])
+    drawn = turns.select(*order[:-1], F.substring(order[-1], 1, SHOWN).alias(order[-1])).orderBy(F.rand(7)).limit(BOUNDS)
+    size, written = drawn.agg(F.count(F.lit(1)), F.to_json(F.collect_list(F.struct(*order)))).first()
+    if not size:
+        return F.lit(0)
+    # One literal, which the optimiser reads once: as many literals as bounds make plans slow.
+    listed = F.sort_array(F.from_json(F.lit(written), ArrayType(schema)))
+    row = F.struct(*order)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(size.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when((at + step <= size) & (F.get(listed, at + step - 1) <= row), step).otherwise(0))
 
 
 def numbered(turns: DataFrame, key: str) -> DataFrame:
     """Turns with a position from 1 in order of turn, role and text (nulls first)."""
     base = turns.select(F.col(key).alias("pair"), F.coalesce(F.col("turn"), F.lit(-1)).cast("long").alias("turn"),
                         F.coalesce(F.col("role"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return running(base, ["pair"], {"__chunk": F.floor(F.col("turn") / CHUNK)}, ["turn", "role", "text"], number="position")
+    order = ["turn", "role", "text"]
+    return running(base, ["pair"], {"__chunk": ranges(base, ["pair", *order])}, order, number="position")
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -61,7 +84,7 @@ def parroted(conversations: DataFrame, key: str = "conv_id") -> tuple[DataFrame,
     In the rejected version the last assistant turn repeats the turn before it (empty for a first turn). A
     conversation without assistant turns is kept whole on both sides.
     """
-    turns = numbered(conversations, key)
+    turns = cut_lineage(numbered(conversations, key))  # read seven times below
     last = turns.filter(F.col("role") == "assistant").groupBy("pair").agg(F.max("position").alias("last"))
     kept = (turns.join(last.select(F.col("pair").alias("__pair"), "last"), F.col("pair").eqNullSafe(F.col("__pair")), "left").drop("__pair")
             .filter(F.col("last").isNull() | (F.col("position") <= F.col("last"))))

@@ -63,7 +63,10 @@ def running(df: DataFrame, keys: Sequence[str], chunk: Mapping[str, Column], ord
         aggs["__t_number"] = F.count(F.lit(1))
         carry["__t_number"] = F.sum("__t_number")
     carried = _carry(base, keys, names, aggs, carry)
-    joined = base.withColumns(cols).join(carried, [*keys, *names], "left")
+    here = base.withColumns(cols)
+    there = carried.select(*[F.col(k).alias(f"__k_{k}") for k in [*keys, *names]], *aggs)
+    on = [here[k].eqNullSafe(there[f"__k_{k}"]) for k in [*keys, *names]]  # a null key is a group, too
+    joined = here.join(there, on, "left").drop(*[f"__k_{k}" for k in [*keys, *names]])
     out = {n: F.col(f"__l_{n}") + F.coalesce(F.col(f"__t_{n}"), F.lit(0)) for n in sums}
     if number:
         out[number] = (F.col("__l_number") + F.coalesce(F.col("__t_number"), F.lit(0))).cast("long")

@@ -230,6 +230,31 @@ def test_preferences_of_odd_tables(spark):
     assert preferences.format_pairs(*preferences.parroted(none)).count() == 0
 
 
+def test_a_null_conversation_of_thousands_of_turns(spark):
+    """Equal turns, turns beyond a chunk, and a null id: positions and offsets as in one plain pass."""
+    turns = [(None, i % 8, "user" if i % 2 else "assistant", f"same beginning {i * 7919 % 5003}") for i in range(3000)]
+    turns += [(None, 1000 + i, "user" if i % 3 else "assistant", f"t{i}") for i in range(2500)] + [(7, i, "assistant", "é" * (i % 5)) for i in range(2100)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    expected = set()
+    for pair in (None, 7):
+        told = sorted(t[1:] for t in turns if t[0] == pair)
+        last = max(i for i, t in enumerate(told) if t[1] == "assistant")
+        told = told[:last + 1]
+        other = [*told[:-1], (*told[-1][:2], told[-2][2])]
+        split = last if other != told else last + 1
+        for part, rows, first, end in (("prompt", told, 0, split), ("chosen", told, split, last + 1), ("rejected", other, split, last + 1)):
+            at = 0
+            for i in range(first, end):
+                shown = f"<|{rows[i][1]}|>\n{rows[i][2]}<|end|>\n"
+                expected.add((pair, part, i + 1, rows[i][1], shown, at, at + len(shown), int(part != "prompt" and rows[i][1] == "assistant")))
+                at += len(shown)
+    found = [tuple(r) for r in preferences.format_pairs(*preferences.parroted(table)).collect()]
+    assert len(found) == len(expected) and set(found) == expected
+    numbers = preferences.numbered(table, "conv_id")
+    cut = preferences.ranges(numbers.drop("position"), ["pair", "turn", "role", "text"])
+    assert numbers.groupBy("pair", cut.alias("c")).count().agg(F.max("count")).first()[0] < 200
+
+
 def test_the_common_prefix_is_the_longest(spark):
     side = lambda turns: spark.createDataFrame([(p, i + 1, r, t) for p, conv in turns.items() for i, (r, t) in enumerate(conv)],
                                                "pair long, position long, role string, text string")
