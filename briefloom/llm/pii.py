@@ -33,8 +33,9 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?(?![a-z])",
 }
-# A pattern can match only where one of these stands.
-NEEDS = {"email": ["@"], "ip": ["."], "phone": ["+"], "name": ["Mr", "Ms", "Dr", "Prof"], "tel": ["-", "."], "ssn": ["-"], "card": []}
+# A pattern can match only where one of these stands; "tel" also takes blanks, so its gate is the end of its own pattern.
+NEEDS = {"email": ["@"], "ip": ["."], "phone": ["+"], "name": ["Mr", "Ms", "Dr", "Prof"], "tel": [], "ssn": ["-"], "card": []}
+TEL_END = r"[0-9]{3}[\x20.-][0-9]{4}"
 # Gazetteers.
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "co", "us", "ch", "it", "nl")
 GIVEN_NAMES = ("james", "mary", "john", "anna", "robert", "maria", "michael", "linda", "david", "laura", "peter", "julia", "thomas",
@@ -89,7 +90,7 @@ def with_candidates(docs: DataFrame, text: Column) -> DataFrame:
     """
     out = docs.withColumn("__text", text)
     for kind, pattern in PATTERNS.items():
-        could = F.lit(True)
+        could = F.rlike("__text", F.lit(TEL_END)) if kind == "tel" else F.lit(True)
         if NEEDS[kind]:
             could = F.contains(F.col("__text"), F.lit(NEEDS[kind][0]))
             for s in NEEDS[kind][1:]:

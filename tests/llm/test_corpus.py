@@ -524,6 +524,16 @@ def test_pii_against_plain_patterns(spark, texts):
         assert set(listed.split(",")) <= set(r["spans"].split(","))
 
 
+def test_phone_numbers_with_blanks_only_are_candidates(spark):
+    given = ["call 555 123 4567", "(555) 123 4567", "(555)123 4567", "555.123.4567", "555-123-4567", "555 1234567", "1555 123 4567 8"]
+    rows = pii.with_candidates(spark.createDataFrame([(t,) for t in given], "text string"), F.col("text")).collect()
+    found = {r["text"]: [(s["start"], s["end"]) for s in r["__found"] if s["kind"] == pii.KINDS.index("tel")] for r in rows}
+    assert found == {t: [m.span() for m in re.finditer(pii.PATTERNS["tel"], t)] for t in given}
+    assert sum(map(len, found.values())) == 5
+    known = spark.createDataFrame([("please call 555 123 4567 today",)] * 40 + [("phone (555) 123 4567",)] * 40, "text string")
+    assert {r["text"] for r in pii.redacted(known).collect()} == {"please call [TEL] today", "phone [TEL]"}
+
+
 def test_pii_finds_reliable_labelers():
     rows = [((1, 1, 1, 1, 1), 500.0), ((1, 1, 1, 0, 1), 300.0), ((2, 2, 2, 0, 2), 400.0), ((2, 2, 1, 0, 2), 50.0), ((1, 1, 2, 2, 1), 40.0)]
     prior, table = pii.reliabilities(rows)
