@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CUT = "cut-"  # begins the name of a folder that cut_lineage wrote
+
 # Runtime settings the plans rely on; all are dynamic, so an existing session can take them.
 RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
@@ -40,18 +43,35 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only a local session may do without it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="briefloom-ck-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="briefloom-ck-", dir="/tmp"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a local session without one gets a fresh folder."""
+    """The rows, written to the shared folder as Parquet and read again.
+
+    The plan starts anew at the files, and so do its size estimates: a checkpoint keeps the estimate of the plan it
+    cut, and in a loop of joins that number doubles its digits every round. Columns are written under plain names, so
+    any names will do.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    place = f"{shared_folder(spark).rstrip('/')}/{CUT}{uuid.uuid4().hex}"
+    written = df.toDF(*plain)
+    written.write.parquet(place)
+    return spark.read.schema(written.schema).parquet(place).toDF(*df.columns)
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Remove the files of tables that ``cut_lineage`` returned and that no plan still to run reads."""
+    for df in cuts:
+        spark = df.sparkSession
+        for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if place.rsplit("/", 1)[1].startswith(CUT):
+                path = spark._jvm.org.apache.hadoop.fs.Path(place)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

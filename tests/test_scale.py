@@ -1,11 +1,13 @@
 """Group-wise helpers against brute force, with one group holding most rows."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from briefloom import scale
 from briefloom.operators import budget as bg
+from briefloom.session import cut_lineage, discard
 
 
 def rows(seed=7):
@@ -35,6 +37,27 @@ def test_latest_and_previous(spark):
         assert prev[i] == (mine[-2][3] if len(mine) > 1 else None)
 
 
+def test_a_null_key_of_several_chunks_keeps_what_it_carries(spark):
+    data = [(None if i % 2 else "a", i, i if i % 31 == 3 else None) for i in range(400)]
+    df = spark.createDataFrame(data, "g string, i int, w int")
+    got = {r.i: r.x for r in scale.latest_before(df, ["g"], scale.position_chunk("i", 25), ["i"], {"x": F.col("w")}).collect()}
+    for g, i, _ in data:
+        seen = [d[2] for d in data if d[0] == g and d[1] <= i and d[2] is not None]
+        assert got[i] == (seen[-1] if seen else None)
+
+
+def test_a_loop_over_cuts_keeps_plans_and_estimates_small(spark):
+    df = spark.range(40).select("id", (F.col("id") + 1).alias("to a;b"))
+    for _ in range(12):
+        df, old = cut_lineage(df.join(df.select(F.col("to a;b").alias("id"), F.col("id").alias("before")), "id").select("id", "to a;b")), df
+    digits = len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert digits < 8 and df.columns == ["id", "to a;b"] and df.count() == 28
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    assert os.path.isdir(folder)
+    discard(df)
+    assert not os.path.isdir(folder)
+
+
 def test_scan_matches_a_plain_loop(spark):
     df = spark.createDataFrame([(list(range(1, 700)),)], "a array<int>")
     got = df.select(scale.scan(F.col("a"), F.lit(0), lambda s, x: F.when(s + x > 50, x).otherwise(s + x), lambda s: s, "int", "int", 64)
