@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from briefloom.llm.shared import in_batches
+
 PIECE = 1 << 16  # characters per encoding call
 # A printable character before a blank or line break always ends a match: no alternative of the pattern spans it.
 SAFE = regex.compile(r"(?<=[!-~\p{L}\p{N}])(?=[ \n])")
@@ -83,7 +85,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", ids:
                     names.append(decoded)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).transform(in_batches, run, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,4 +115,4 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *out.names])
 
     return (docs.select(F.col(key), F.col(text).cast("string").alias("__text"))
-            .mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+            .transform(in_batches, run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"))

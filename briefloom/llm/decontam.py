@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from briefloom.llm.arrays import U, Words, mix, words
+from briefloom.llm.shared import in_batches
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 16
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
@@ -217,4 +218,4 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, best], schema=pa.schema(
                 [*list(batch.schema)[:-1], pa.field("bench_items", ids.type), pa.field("bench_similarity", best.type)]))
 
-    return docs.select(*rest, F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("__folded")).mapInArrow(run, schema)
+    return docs.select(*rest, F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("__folded")).transform(in_batches, run, schema)

@@ -21,17 +21,17 @@ spare pairs that cannot be similar. At similarity s two texts share s / (1 + s)
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from briefloom.llm.arrays import FACTOR, U, counted, mix, words
-from briefloom.llm.shared import cut_lineage, shared_folder
+from briefloom.llm.arrays import FACTOR, SLICE, U, counted, mix, words
+from briefloom.llm.shared import cut_lineage, discard, in_batches
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5  # a pair at 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6
@@ -107,7 +107,7 @@ def signed(docs: DataFrame, key: str, text: str, bands: int, rows: int, width: i
     schema = T.StructType([T.StructField("key", kind), T.StructField("rowkey", T.LongType()), T.StructField("node", T.LongType()),
                            T.StructField("bands", T.ArrayType(T.LongType()))])
     return (docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key), value).alias("rowkey"), F.lower(value).alias("text"))
-            .mapInArrow(run, schema))
+            .transform(in_batches, run, schema))
 
 
 def similar(pairs: DataFrame, least: float, width: int) -> DataFrame:
@@ -115,28 +115,34 @@ def similar(pairs: DataFrame, least: float, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            turns = np.arange(2 * n).reshape(2, n).T.reshape(-1)  # a0, b0, a1, b1, ...
-            both = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(turns)) if n else batch.column(2)
             value = np.zeros(n)
-            for part in words(both, step=2):
-                first = part.first
-                h, row, _ = part.shingles(width)
-                pair = row // 2
-                order = np.argsort(mix(h + pair.astype(U) * U(FACTOR)))
-                same = mix(h + pair.astype(U) * U(FACTOR))[order]
-                if not len(same):
-                    continue
-                start = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
-                left = np.add.reduceat((row[order] % 2 == 0).astype(np.int64), start)
-                right = np.add.reduceat((row[order] % 2 == 1).astype(np.int64), start)
-                where = pair[order[start]]
-                low = np.bincount(where, np.minimum(left, right), minlength=part.rows // 2)
-                high = np.bincount(where, np.maximum(left, right), minlength=part.rows // 2)
-                value[first // 2:first // 2 + part.rows // 2] = low / np.maximum(high, 1)
+            size = np.cumsum(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < n:  # pairs of about SLICE bytes at a time
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+                turns = np.arange(2 * (end - at)).reshape(2, end - at).T.reshape(-1)  # a0, b0, a1, b1, ...
+                both = pa.concat_arrays([batch.column(2).slice(at, end - at), batch.column(3).slice(at, end - at)]).take(pa.array(turns))
+                for part in words(both, step=2):
+                    h, row, _ = part.shingles(width)
+                    pair = row // 2
+                    same = mix(h + pair.astype(U) * U(FACTOR))
+                    order = np.argsort(same)
+                    same = same[order]
+                    if not len(same):
+                        continue
+                    start = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
+                    left = np.add.reduceat((row[order] % 2 == 0).astype(np.int64), start)
+                    right = np.add.reduceat((row[order] % 2 == 1).astype(np.int64), start)
+                    where = pair[order[start]]
+                    low = np.bincount(where, np.minimum(left, right), minlength=part.rows // 2)
+                    high = np.bincount(where, np.maximum(left, right), minlength=part.rows // 2)
+                    first = at + part.first // 2
+                    value[first:first + part.rows // 2] = low / np.maximum(high, 1)
+                at = end
             good = pa.array(value >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "text_a", "text_b").transform(in_batches, run, "a long, b long")
 
 
 def weighed(texts: DataFrame, width: int) -> DataFrame:
@@ -153,7 +159,7 @@ def weighed(texts: DataFrame, width: int) -> DataFrame:
                      pa.array(np.concatenate([cells.view(np.int64), node[part]]), mask=np.repeat([False, True], [len(cells), w.rows])),
                      pa.array(np.concatenate([n, np.bincount(row, minlength=w.rows)]))], names=["node", "component", "cell", "weight"])
 
-    return texts.select("node", "component", "text").mapInArrow(run, "node long, component long, cell long, weight long")
+    return texts.select("node", "component", "text").transform(in_batches, run, "node long, component long, cell long, weight long")
 
 
 def profiles(texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -172,9 +178,11 @@ def profiles(texts: DataFrame, width: int, least: float) -> DataFrame:
               .withColumn("upto", F.sum("weight").over(Window.partitionBy("node").orderBy("texts", "cell"))))
     before = F.col("size") - F.col("common") + F.col("upto") - F.col("weight")
     stands = lambda share: F.when((F.col("texts") <= RARE) & (before <= F.col("size") * share + 1e-6), F.col("cell"))
-    return placed.groupBy("node", "size", "common").agg(
+    out = cut_lineage(placed.groupBy("node", "size", "common").agg(
         F.sum(F.when(F.col("texts") > RARE, F.col("weight")).otherwise(0)).alias("often"),
-        F.collect_list(stands(1 - least)).alias("early"), F.collect_list(stands((1 - least) / (1 + least))).alias("first"))
+        F.collect_list(stands(1 - least)).alias("early"), F.collect_list(stands((1 - least) / (1 + least))).alias("first")))
+    discard(rows)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,9 +198,11 @@ def components(edges: DataFrame) -> DataFrame:
                 .agg(F.min("component").alias("seen")))
         step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "seen").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        moved = cut_lineage(step.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("root", "component")).alias("component")))
+        moved, before = cut_lineage(step.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("root", "component")).alias("component"))), labels
+        discard(before)
         labels = moved.select("node", "component")
         if moved.filter("component <> old").isEmpty():
+            discard(both)
             return labels
 
 
@@ -206,7 +216,6 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     are alike only when they are equal. A text of fewer than five words has one shingle of all of them. Equality of
     words is judged by a 64-bit hash.
     """
-    spark = docs.sparkSession
     rowset = cut_lineage(signed(docs, key, text, bands, rows, width))
     nodes = cut_lineage(rowset.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "rowkey")).alias("rep"),
                                                    F.first("bands").alias("bands")))
@@ -217,12 +226,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     centres = (meeting.join(reach, "node").groupBy("bucket").agg(F.max(F.struct("reach", "n", "node")).alias("top"))
                .select("bucket", F.col("top.node").alias("centre")))
     shared = cut_lineage(meeting.select("bucket", "node").join(centres, "bucket"))
-    place = f"{shared_folder(spark).rstrip('/')}/neardup-{uuid.uuid4().hex}"
+    discard(meeting)
     needed = shared.select("node").distinct().join(nodes.select("node", F.col("rep.rowkey").alias("rowkey")), "node")
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    (docs.select(F.xxhash64(F.col(key), value).alias("rowkey"), F.lower(value).alias("text")).join(needed, "rowkey")
-     .select("node", "text").dropDuplicates(["node"]).write.parquet(place))
-    texts = spark.read.schema("node long, text string").parquet(place)
+    texts = cut_lineage(docs.select(F.xxhash64(F.col(key), value).alias("rowkey"), F.lower(value).alias("text")).join(needed, "rowkey")
+                        .select("node", "text").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -238,8 +246,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     open_ = cut_lineage(mixed(coloured))
     able = open_
     for _ in range(2):  # what the first bound sets aside no longer counts in the second
-        profile = cut_lineage(profiles(able.select("node", "component").distinct().join(texts, "node"), width, least)
-                              .filter(F.col("common") >= F.col("size") * least))
+        profile = profiles(able.select("node", "component").distinct().join(texts, "node"), width, least).filter(F.col("common") >= F.col("size") * least)
         able = cut_lineage(mixed(able.select("bucket", "node", "component").join(profile.select("node"), "node")))
     side = able.join(profile, "node").join(nodes.select("node", "bands"), "node")
     named_as = lambda x: side.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in side.columns if c != "bucket"])
@@ -254,6 +261,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     rest = ordered(met).join(ordered(star), ["a", "b"], "left_anti")
     more = cut_lineage(verified(rest))
     final = components(links.unionAll(more))
+    discard(shared, texts, star, links, labels, open_, able, profile, more)
     named = nodes.join(final, "node", "left").select("node", "n", "rep", F.coalesce("component", "node").alias("component"))
     groups = named.groupBy("component").agg(F.min("rep").alias("rep"), F.min("rep.key").alias("class_id"), F.sum("n").alias("class_size"))
     result = named.select("node", "component").join(groups, "component").select("node", "rep", "class_id", "class_size")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from briefloom.llm.arrays import FACTOR, U, Words, counted, mix, words
+from briefloom.llm.shared import in_batches
 
 BUCKETS = 1 << 16
 SAMPLE = 8000  # expected rows that the scorer is fitted on
@@ -142,7 +143,7 @@ def vote_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 code, n = np.unique(_coded(votes(statistics(w))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
-    return docs.select(_folded(docs, text)).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(_folded(docs, text)).transform(in_batches, run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> Model:
@@ -170,7 +171,7 @@ def learn(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> Model:
 
     draw = F.pmod(F.xxhash64(F.col("text"), F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = (docs.select(_folded(docs, text).alias("text")).filter(draw < most / counts.sum())
-            .select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "h long, code long, buckets array<int>, values array<float>")
+            .select(F.xxhash64("text").alias("h"), "text").transform(in_batches, run, "h long, code long, buckets array<int>, values array<float>")
             .groupBy("h").agg(F.first("code").alias("code"), F.first("buckets").alias("buckets"), F.first("values").alias("values"))
             .orderBy("h").toArrow())
     if rows.num_rows == 0:
@@ -225,4 +226,4 @@ def with_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], schema=pa.schema(
                 [*list(batch.schema)[:-1], *(pa.field(c, a.type) for (c, _), a in zip(new, more, strict=True))]))
 
-    return docs.select(*rest, _folded(docs, text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*rest, _folded(docs, text).alias("__text")).transform(in_batches, run, schema)

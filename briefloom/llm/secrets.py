@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from briefloom.llm.shared import in_batches
+
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -162,4 +164,4 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
                                               pa.array(spans, pa.string())], names=names)
 
     return (docs.select(F.col(key), F.col(text).cast("string").alias("__text"))
-            .mapInArrow(run, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"))
+            .transform(in_batches, run, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"))

@@ -2,41 +2,46 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import os
-import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from briefloom.session import cut_lineage, discard, shared_folder  # noqa: F401
+
+BATCH = 8 << 20
+
 
 def table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] = ()) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only a local session without one gets a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="corpus-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir()
+def release() -> None:
+    """Give memory that a task no longer needs back to the system; a Python worker outlives its task by a minute."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library that has it
+        pass
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of about ``BATCH`` bytes; a task gives back its memory when its rows are over."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return df.mapInArrow(whole, schema)
 
 
 def ship_file(spark: SparkSession, stem: str, data: bytes) -> str:

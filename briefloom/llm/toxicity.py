@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefloom.llm.shared import cut_lineage
+from briefloom.llm.shared import cut_lineage, in_batches
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m",
@@ -150,7 +150,7 @@ def _listed(rows: DataFrame) -> DataFrame:
 
     # Exact copies teach once.
     once = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    return once.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, terms array<string>")
+    return once.select("text", F.col("toxic").cast("int").alias("toxic")).transform(in_batches, run, "toxic int, terms array<string>")
 
 
 def _cover(lists: Sequence[Sequence[str]], odds: dict[str, float], least: int) -> list[str]:
@@ -248,7 +248,7 @@ def _learned_exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()),
                                               pa.array(list(found.values()), pa.int64())], names=["phrase", "toxic", "n"])
 
-    seen = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "phrase string, toxic int, n long")
+    seen = rows.select("text", F.col("toxic").cast("int").alias("toxic")).transform(in_batches, run, "phrase string, toxic int, n long")
     return [r["phrase"] for r in seen.groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"),
                                                              F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
             .filter("t = 0 AND c >= 3").orderBy(F.desc("c"), "phrase").limit(1000).collect()]
@@ -262,7 +262,7 @@ def _calibration(rows: DataFrame, lexicon: Lexicon):
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([round(g[0], 2) for g in got], pa.float64()),
                                               pa.array([round(g[1], 2) for g in got], pa.float64())], names=["toxic", "x", "y"])
 
-    return (rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, x double, y double")
+    return (rows.select("text", F.col("toxic").cast("int").alias("toxic")).transform(in_batches, run, "toxic int, x double, y double")
             .groupBy("toxic", "x", "y").agg(F.count(F.lit(1)).alias("n")).collect())
 
 
@@ -281,4 +281,4 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
                  pa.array([g[1] for g in got], pa.int64())], names=[key, "score", "predicted", "hits"])
 
     return (docs.select(F.col(key), F.col(text).cast("string").alias("__text"))
-            .mapInArrow(run, f"`{key}` {kind}, score double, predicted int, hits long"))
+            .transform(in_batches, run, f"`{key}` {kind}, score double, predicted int, hits long"))

@@ -17,7 +17,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefloom.llm.shared import ship_file
+from briefloom.llm.shared import in_batches, ship_file
 
 MAX_INDEX_BYTES = 1 << 30  # a list beyond this is refused, because it is made in the driver
 _MAPPED: dict = {}
@@ -155,4 +155,4 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], words: Iterable[st
                                              names=[key, "host", "path", "rule", "verdict"])
 
     return (pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-            .mapInArrow(run, f"`{key}` {kind}, host string, path string, rule string, verdict string"))
+            .transform(in_batches, run, f"`{key}` {kind}, host string, path string, rule string, verdict string"))

@@ -10,6 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import tiktoken.load
 from pyspark.sql import functions as F
 
 import corpus_pipeline
