@@ -69,7 +69,7 @@ def front_matter(docs: DataFrame) -> DataFrame:
     titled = F.coalesce(tx.strip(group["title"]) == tx.strip(F.col("title")), F.lit(False))
     prose = F.exists(first, lambda p: (p["s"]["kind"] == "paragraph") & (F.length(p["s"]["text"]) > 80))
     docs = docs.withColumn("has_front", (F.size("segs") > 0) & (~group["head"] | titled) & ~prose)
-    word = f"(?i){cl.INSTITUTION_CJK}|{cl.INSTITUTION_LATIN}"
+    word = f"(?i){cl.INSTITUTION}"
     line = F.try_element_at(F.filter(first, lambda p: p["s"]["text"].rlike(word)), F.lit(1))["s"]["text"]
     return docs.withColumn("affiliation", F.when(F.col("has_front"), cl.affiliation_of(tx.strip(line))))
 

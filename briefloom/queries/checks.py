@@ -186,7 +186,7 @@ def enum_drift(spark, sf):
 d AS (SELECT doc_id, lang, string_split(text, chr(10)) AS ls, {b.strip("split_part(text, chr(10), 1)")} AS l1 FROM documents),
 m AS (SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN 'Property ' || doc_id
              WHEN doc_id % 3 = 1 THEN l1
-             ELSE (SELECT {b.strip('x')} FROM (SELECT unnest(ls[1:5]) AS x, generate_subscripts(ls[1:5], 1) AS i)
+             ELSE (SELECT {b.strip('x')} FROM (SELECT unnest(ls) AS x, generate_subscripts(ls, 1) AS i)
                    ORDER BY length(x) % 7 DESC, i LIMIT 1) END AS title FROM d)""", body="""
 SELECT doc_id, CASE WHEN lang IN ('zh', 'en') THEN lang ELSE 'mixed' END AS language, title,
        'A' || doc_id AS presenter FROM m"""))
@@ -198,7 +198,7 @@ def document_metadata(spark, sf):
                     F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Property "), "doc_id")).alias("title_property"),
                     F.concat(F.lit("A"), "doc_id", F.lit("; B、C")).alias("author_property"),
                     F.when(F.col("doc_id") % 3 == 1, F.array(tx.strip(ls[0]))).otherwise(none).alias("headings"),
-                    F.transform(F.slice(ls, 1, 5), lambda l: F.struct(l.alias("text"), (F.length(l) % 7).alias("size")))
+                    F.transform(ls, lambda l: F.struct(l.alias("text"), (F.length(l) % 7).alias("size")))
                     .alias("first_page"))
     named = md.document_metadata(meta).join(d.select("doc_id", "lang"), "doc_id")
     return md.deck_defaults(named)

@@ -416,27 +416,133 @@ def box_math(spark, sf):
         pic["w"].cast("int").alias("pic_w"))
 
 
-@query("string_width", b.with_(b.LINES, body="""
-SELECT doc_id, slide_no, round((len(regexp_extract_all(line, ' ')) * 0.26 + len(regexp_extract_all(line, '[0-9]')) * 0.56
-  + (len(line) - len(regexp_extract_all(line, ' ')) - len(regexp_extract_all(line, '[0-9]'))) * 0.52) * 18, 3)::DOUBLE AS width FROM lines"""))
+def _sql_class(test) -> str:
+    """A class of characters as SQL's regular expressions take it."""
+    return "[" + ms.char_class(test) + "]"
+
+
+def _em(x: str) -> str:
+    """SQL for the width of ``x`` in millionths of an em: by classes, each character on its own."""
+    n = lambda rule: f"len(regexp_extract_all({x}, '{rule}'))"
+    wide, digits = _sql_class(ms.is_wide), _sql_class(lambda ch: ch.isdigit() and not ms.is_wide(ch))
+    return f"(len({x}) * 520000 + {n(wide)} * 480000 - {n(' ')} * 260000 + {n(digits)} * 40000)"
+
+
+_BLANK = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}"
+_WORDS = f"regexp_extract_all(t, '(?s)[A-Za-z0-9][A-Za-z0-9''./-]*|{_BLANK}]+|.')"
+
+
+def _fold(words: str, limit: str) -> str:
+    """SQL that breaks lines: a fold over ``words`` (w, n, kind, each: widths of the characters), giving the open line at the end.
+
+    Written from the rules: a line ends before a word that does not fit, an overhanging blank vanishes, an overhanging
+    closing mark stays, opening marks at the end go down, a word wider than a line is filled in character by character.
+    """
+    opened = "list_sum(s.opens)"
+    broken = f"""list_reduce(e, lambda a, w: CASE WHEN a.n > 0 AND a.used + w > {limit}
+        THEN {{'lines': a.lines + 1, 'used': w, 'real_': w, 'n': 1, 'opens': a.opens, 'widest': greatest(a.widest, a.real_)}}
+        ELSE {{'lines': a.lines, 'used': a.used + w, 'real_': a.real_ + w, 'n': a.n + 1, 'opens': a.opens, 'widest': a.widest}} END, f)"""
+
+    def line(lines: str, used: str, real: str, n: str, opens: str, widest: str) -> str:
+        return f"{{'lines': CAST({lines} AS BIGINT), 'used': CAST({used} AS BIGINT), 'real_': CAST({real} AS BIGINT), 'n': CAST({n} AS BIGINT), 'opens': {opens}, 'widest': CAST({widest} AS BIGINT)}}"
+
+    none = "CAST([] AS BIGINT[])"
+    fills = lambda each, start, opens: broken.replace("list_reduce(e,", f"list_reduce({each},").replace(", f)", f", {line(*start[:4], opens, start[4])})")
+    sum_opens = f"coalesce({opened}, 0)"
+    end = "CASE WHEN x.kind = 'opening' THEN [x.w] ELSE " + none + " END"
+    on = "CASE WHEN x.kind = 'opening' THEN list_concat(s.opens, [x.w]) ELSE " + none + " END"
+    return f"""list_reduce({words}, lambda s, x: CASE
+      WHEN s.n = 0 AND x.kind = 'blank' THEN s
+      WHEN s.n = 0 AND x.w > {limit} THEN {fills('x.each', ('s.lines', 's.used', 's.real_', 's.n', 's.widest'), end)}
+      WHEN s.n = 0 OR s.used + x.w <= {limit} THEN {line('s.lines', 's.used + x.w', 's.real_ + x.w', 's.n + x.n', on, 's.widest')}
+      WHEN x.kind = 'blank' THEN {line('s.lines + 1', '0', '0', '0', none, 'greatest(s.widest, s.real_)')}
+      WHEN x.kind = 'closing' THEN {line('s.lines + 1', '0', '0', '0', none, 'greatest(s.widest, s.real_ + x.w)')}
+      WHEN x.w > {limit} THEN {fills('list_concat(s.opens, x.each)', ('s.lines + 1', '0', '0', '0', f'greatest(s.widest, s.real_ - {sum_opens})'), end)}
+      ELSE {line('s.lines + 1', 'x.w', f'{sum_opens} + x.w', 'len(s.opens) + x.n', on, f'greatest(s.widest, s.real_ - {sum_opens})')} END,
+      {line('0', '0', '0', '0', none, '0')})"""
+
+
+_KIND = """CASE WHEN regexp_matches(w, '^[A-Za-z0-9]') THEN 'plain' WHEN regexp_matches(w, '^{blank}\\x{{3000}}]') THEN 'blank'
+  WHEN contains('{closing}', w) THEN 'closing' WHEN contains('{opening}', w) THEN 'opening' ELSE 'plain' END""".format(
+    blank=_BLANK, closing=ms.CLOSING, opening=ms.OPENING)
+FITTED = f"""
+cut AS (SELECT DISTINCT line AS t, unnest(list_distinct({_WORDS.replace('(t,', '(line,')})) AS w FROM (SELECT DISTINCT line FROM lines)),
+kinds AS (SELECT w, struct_pack(kind := {_KIND}, w := CAST({_em('w')} AS BIGINT), n := len(w),
+                 "each" := list_transform(string_split(w, ''), lambda c: CAST({_em('c')} AS BIGINT))) AS x FROM (SELECT DISTINCT w FROM cut)),
+placed AS (SELECT t, unnest({_WORDS}) AS w, unnest(range(len({_WORDS}))) AS k FROM (SELECT DISTINCT line AS t FROM lines)),
+worded AS (SELECT t, list(x ORDER BY k) AS words FROM placed JOIN kinds USING (w) GROUP BY t),
+sized AS (SELECT t, words, unnest([12, 14, 16, 18]) AS size FROM worded),
+broken AS (SELECT t, size, {_fold('words', "CAST(floor(round(500 / size * 1000000, 3)) AS BIGINT)")} AS s FROM sized),
+counted AS (SELECT t, size, greatest(1, s.lines + CASE WHEN s.n > 0 THEN 1 ELSE 0 END) AS lines, greatest(s.widest, s.real_) AS widest,
+                   CASE WHEN regexp_matches(t, '{_sql_class(ms.is_wide)}') THEN 1.42::DOUBLE ELSE 1.2::DOUBLE END AS spacing FROM broken),
+fitted AS (SELECT t, max(CASE WHEN size = 18 THEN lines END) AS lines, round(max(CASE WHEN size = 18 THEN lines * 18 * spacing / 120 END), 4) AS ratio,
+                  round(max(CASE WHEN size = 18 THEN widest / 1000000 * 18 END), 3) AS widest,
+                  coalesce(max(CASE WHEN lines * size * spacing / 120 <= 1 THEN size END), 12) AS size FROM counted GROUP BY t)"""
+
+
+@query("string_width", b.with_(b.LINES, body=f"SELECT doc_id, slide_no, round({_em('line')} / 1000000.0 * 18, 3)::DOUBLE AS width FROM lines"))
 def string_width(spark, sf):
     return c.lines(spark, sf).select("doc_id", "slide_no", F.round(ms.string_width("line", F.lit(18.0)), 3).alias("width"))
 
 
-@query("fit_blocks")
+def fonts(spark, sf):
+    """Advances of two fonts for the characters the documents use; each lacks some, and the second gives a few no width."""
+    chars = c.documents(spark, sf).select(F.explode(F.array_distinct(F.filter(F.split("text", ""), lambda x: x != ""))).alias("ch")).distinct()
+    code = F.ascii("ch")
+    one = chars.filter(code % 7 != 0).select(F.lit("serif").alias("font"), "ch", (F.lit(0.2) + code % 64 / 100).alias("em"))
+    two = chars.filter(code % 5 != 0).select(F.lit("mono").alias("font"), "ch", F.when(code % 11 == 0, 0.0).otherwise(0.6).alias("em"))
+    return one.unionByName(two)
+
+
+@query("font_widths", b.with_(b.LINES, f"""
+rows_ AS (SELECT doc_id, slide_no, unnest(string_split(line, '')) AS ch FROM lines),
+per AS (SELECT doc_id, slide_no, ch, count(*) AS n FROM rows_ GROUP BY ALL),
+known AS (SELECT ch, CAST({_em('ch')} AS BIGINT) AS em, unicode(ch) AS code FROM (SELECT DISTINCT ch FROM per WHERE ch <> '')),
+ems AS (SELECT ch, 'serif' AS font, CASE WHEN code % 7 <> 0 THEN CAST(round((0.2 + code % 64 / 100) * 1000000) AS BIGINT) ELSE em END AS em FROM known
+        UNION ALL SELECT ch, 'mono', CASE WHEN code % 5 <> 0 AND code % 11 <> 0 THEN 600000 ELSE em END FROM known),
+sums AS (SELECT doc_id, slide_no, font, sum(n * em) AS em FROM per JOIN ems USING (ch) GROUP BY ALL)""", body="""
+SELECT doc_id, slide_no, f.font, CAST(coalesce(em, 0) / 1000000 AS DOUBLE) AS em
+FROM lines CROSS JOIN (VALUES ('serif'), ('mono')) f(font) LEFT JOIN sums USING (doc_id, slide_no, font)"""))
+def font_widths(spark, sf):
+    lines = c.lines(spark, sf).select("doc_id", "slide_no", "line")
+    return ms.measured_widths(lines, ["doc_id", "slide_no"], "line", fonts(spark, sf))
+
+
+@query("fit_blocks", b.with_(b.LINES, FITTED, body="""
+SELECT doc_id, slide_no, CAST(coalesce(f.lines, 1) AS INTEGER) AS lines, coalesce(ratio, 0.18) AS ratio, coalesce(widest, 0.0) AS widest,
+       CAST(coalesce(f.size, 18) AS INTEGER) AS size FROM lines LEFT JOIN fitted f ON f.t = line"""))
 def fit_blocks(spark, sf):
-    """Wrapped line count, overflow and largest fitting size of every line in a fixed box."""
-    d = c.lines(spark, sf)
-    sizes = F.explode(F.sequence(F.lit(18), F.lit(12), F.lit(-2))).alias("size")
-    m = d.select("doc_id", "slide_no", "line", sizes).withColumn("m", ms.wrap_lines("line", F.lit(500.0), F.col("size")))
-    ratio = ms.overflow_ratio(F.col("m.lines"), F.col("size"), ms.line_spacing("line"), F.lit(120.0))
-    return m.groupBy("doc_id", "slide_no").agg(
-        F.max(F.when(F.col("size") == 18, F.col("m.lines"))).alias("lines"),
-        F.round(F.max(F.when(F.col("size") == 18, ratio)), 4).alias("ratio"),
-        F.coalesce(F.max(F.when(ratio <= 1.0, F.col("size"))), F.lit(12)).alias("size"))
-
-
-@query("slot_capacity")
+    """Wrapped line count, overflow, widest line and largest fitting size of every line in a fixed box."""
+    sizes = F.array(*[F.lit(z) for z in (18, 16, 14, 12)])
+    d = c.lines(spark, sf).select("doc_id", "slide_no", ms.line_spacing("line").alias("spacing"), ms.wrap_sizes("line", F.lit(500.0), sizes).alias("all"))
+    ratio = lambda x: ms.overflow_ratio(x["wrapped"]["lines"], x["size"], F.col("spacing"), F.lit(120.0))
+    first = F.col("all")[0]
+    return d.select("doc_id", "slide_no", first["wrapped"]["lines"].alias("lines"), F.round(ratio(first), 4).alias("ratio"),
+                    F.round(first["wrapped"]["widest"], 3).alias("widest"), ms.largest_font_fits(
+                        F.transform("all", lambda x: F.struct(x["size"].alias("size"), ratio(x).alias("ratio"))), F.lit(18), F.lit(12)).alias("size"))
+
+
+@query("slot_capacity", b.with_(f"""
+boxes AS (SELECT p_partkey, 200.0::DOUBLE + p_partkey % 40 * 10 AS w, 60.0::DOUBLE + p_partkey % 17 * 15 AS h, 14.0::DOUBLE + p_partkey % 10 AS size,
+                 CASE WHEN p_partkey % 2 = 0 THEN 'zh' ELSE 'en' END AS lang FROM part),
+held AS (SELECT *, CAST(floor(h / (size * CASE WHEN lang = 'zh' THEN 1.42::DOUBLE ELSE 1.2::DOUBLE END)) AS INTEGER) AS lines,
+                CAST(floor(round(w / size * 1000000, 3)) AS BIGINT) AS room FROM boxes),
+kinds AS (SELECT DISTINCT w, size, lang, lines, room FROM held),
+guessed AS (SELECT *, CAST(floor(lines * (w / (CASE WHEN lang = 'zh' THEN 1.0::DOUBLE ELSE {sum(260000 if x == ' ' else 520000 for x in ms.MEAN_SAMPLES['en'])}.0::DOUBLE / {1000000 * len(ms.MEAN_SAMPLES['en'])} END * size)
+                   / CASE WHEN lang = 'zh' THEN 1.0::DOUBLE ELSE 6.1::DOUBLE END)) AS INTEGER) AS most FROM kinds),
+words AS (SELECT list_transform(string_split('{ms.FILLER_EN}', ' '), lambda c: len(c) * 520000) AS ws),
+lined AS (
+  -- Line by line: the number of words up to the end of each.
+  SELECT g.*, 0 AS line, 0 AS done FROM guessed g
+  UNION ALL
+  SELECT w, size, lang, lines, room, most, line + 1,
+         done + CASE WHEN lang = 'zh' THEN greatest(1, room // 1000000)
+                     ELSE greatest(1, (SELECT count(*) FROM (SELECT sum(ws[(done + i) % len(ws) + 1] + CASE WHEN i > 0 THEN 260000 ELSE 0 END) OVER (ORDER BY i) AS upto
+                                                             FROM words, range(0, 200) r(i)) WHERE upto <= room)) END
+  FROM lined WHERE line < lines),
+best AS (SELECT w, size, lang, lines, most, max(done) AS done FROM lined GROUP BY ALL)""".strip(), body="""
+SELECT p_partkey, CAST(CASE WHEN h.lines <= 0 OR most <= 0 THEN 0 ELSE least(most, done) END AS INTEGER) AS units, h.lines
+FROM held h JOIN best USING (w, size, lang, lines)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def slot_capacity(spark, sf):
     """Measured capacity of every block's slot, from its page share."""
     n = F.col("p_partkey")

@@ -365,21 +365,21 @@ def titles_distinguished(spark, sf):
         title, F.lit("same"), "line", (("und", "U"),), (("the", "T"),)).alias("title"))
 
 
-@query("affiliations", b.with_(f"""
-d AS (SELECT doc_id, {b.strip("substr(text, 1, 12)")} AS a, {b.strip("substr(text, 20, 10)")} AS n FROM documents),
-l AS (SELECT doc_id, replace(replace(a, ',', ''), ';', '') AS a, replace(replace(n, ',', ''), ';', '') AS n FROM d)""",
-                               body=f"""
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {b.strip("n || ' University'")} WHEN 1 THEN '某大学'
-  ELSE {b.strip("a || ' and ' || n")} END AS affiliation
-FROM l WHERE doc_id % 3 <> 2 OR NOT regexp_matches(a || ' and ' || n, '(?i)universit|institute|laborator|college|school|academy|hospital')"""))
+_BYLINE = "(?is)^(.*?)(?:" + cl.INSTITUTION + ")"
+
+
+@query("affiliations", b.with_(b.LINES, f"""
+two AS (SELECT doc_id, max(CASE WHEN slide_no = 1 THEN line END) AS a, coalesce(max(CASE WHEN slide_no = 2 THEN line END), '') AS n FROM lines GROUP BY doc_id),
+l AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN a || ', ' || n || ' University' WHEN 1 THEN '张三、李四 某大学 ' || a ELSE a || ' and ' || n END AS line FROM two),
+p AS (SELECT *, regexp_matches(line, '{_BYLINE}') AS hit, regexp_extract(line, '{_BYLINE}', 1) AS pre FROM l),
+q AS (SELECT *, len(regexp_extract(pre, '(?s)^(.*(?:\\x{{3000}}|  |[，,；;、]))', 1)) AS cut FROM p),
+r AS (SELECT *, len(regexp_extract(substr(pre, cut + 1), '(?s)^(.* )', 1)) AS gap, substr(line, len(pre) + 1, 1) >= '⺀' AS cjk FROM q),
+t AS (SELECT *, CASE WHEN cjk AND gap > 0 AND len({b.strip("substr(substr(pre, cut + 1), 1, gap - 1)")}) <= 8 THEN cut + gap ELSE cut END AS start FROM r)""", body=f"""
+SELECT doc_id, CASE WHEN NOT hit OR {b.strip("substr(line, start + 1)")} = '' THEN {b.strip("line")} ELSE {b.strip("substr(line, start + 1)")} END AS affiliation FROM t"""))
 def affiliations(spark, sf):
-    d = c.documents(spark, sf).select("doc_id", tx.strip(F.substring("text", 1, 12)).alias("a"),
-                                      tx.strip(F.substring("text", 20, 10)).alias("n"))
-    clean = [F.translate(x, ",;", "").alias(x) for x in ("a", "n")]
-    d = d.select("doc_id", *clean)
-    line = (F.when(F.col("doc_id") % 3 == 0, F.concat("a", F.lit(", "), "n", F.lit(" University")))
-            .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("张三、李四 某大学")))
-            .otherwise(F.concat("a", F.lit(" and "), "n")))
-    word = f"(?i){cl.INSTITUTION_LATIN}"
-    return (d.filter((F.col("doc_id") % 3 != 2) | ~F.concat("a", F.lit(" and "), "n").rlike(word))
-            .select("doc_id", cl.affiliation_of(line).alias("affiliation")))
+    """Bylines made of whole lines of the documents, with and without an institution in them."""
+    d = c.documents(spark, sf).select("doc_id", F.split("text", "\n").alias("l"))
+    a, n = F.col("l")[0], F.coalesce(F.get("l", F.lit(1)), F.lit(""))
+    line = (F.when(F.col("doc_id") % 3 == 0, F.concat(a, F.lit(", "), n, F.lit(" University")))
+            .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("张三、李四 某大学 "), a)).otherwise(F.concat(a, F.lit(" and "), n)))
+    return d.select("doc_id", cl.affiliation_of(line).alias("affiliation"))

@@ -252,64 +252,52 @@ def table_headers(spark, sf):
 
 # ------------------------------------------------------------- typeset sources
 
-_SRC = (r"'\section{Part ' || doc_id || '}\label{sec:a} Some \textbf{bold} text\cite{k1}, $x_{1}$ and ~ 5\% more. ' ||"
-        r" '\begin{itemize}\item one \begin{enumerate}\item deep\end{enumerate} \item two\end{itemize} tail ' ||"
-        r" '\begin{equation}a=b_' || doc_id || '\end{equation}\subsection*{Sub}' || {w}")
+_W = r"regexp_replace(line, '[^\p{L}]', '', 'g')"
+# Every line of every document, under a key of its own, with all its letters.
+KEYED = b.LINES + f", d AS (SELECT doc_id || '.' || slide_no AS doc_id, {_W} AS w FROM lines)"
 
 
-def tex_source():
-    w = tx.sub(F.substring(F.split("text", "\n")[0], 1, 20), r"[^\p{L}]", "")
-    return F.concat(F.lit(r"\section{Part "), "doc_id", F.lit(r"}\label{sec:a} Some \textbf{bold} text\cite{k1}, $x_{1}$ and ~ 5\% more. "),
-                    F.lit(r"\begin{itemize}\item one \begin{enumerate}\item deep\end{enumerate} \item two\end{itemize} tail "),
-                    F.lit(r"\begin{equation}a=b_"), "doc_id", F.lit(r"\end{equation}\subsection*{Sub}"), w)
-
-
-_W = r"regexp_replace(substr(split_part(text, chr(10), 1), 1, 20), '[^\p{L}]', '', 'g')"
+def keyed_lines(spark, sf):
+    return c.lines(spark, sf).select(F.concat_ws(".", "doc_id", "slide_no").alias("doc_id"), tx.sub(F.col("line"), r"[^\p{L}]", "").alias("w"))
 
 
 @query("latex_stripped", f"""
-SELECT doc_id, 'Some bold text, $x_{{1}}$ and 5% more by ' || {_W} AS plain FROM documents""")
+WITH d AS (SELECT doc_id, {b.strip(f"""regexp_replace(regexp_replace(text, '[{{}}$~&#_%^]|[{chr(92) * 2}]', '', 'g'), '{b.SPACE}+', ' ', 'g')""")} AS w FROM documents)
+SELECT doc_id, rtrim('Some bold text, $x_{{1}}$ and 5% more by ' || w) AS plain FROM d""")
 def latex_stripped(spark, sf):
-    w = tx.sub(F.substring(F.split("text", "\n")[0], 1, 20), r"[^\p{L}]", "")
+    w = tx.sub(F.col("text"), r"[{}$~&#_%^\\]", "")
     src = F.concat(F.lit(r"Some \textbf{bold} text\cite[p.~2]{k1}, $x_{1}$ and~5\% more \label{q} by {\small "), w, F.lit("}"))
     return c.documents(spark, sf).select("doc_id", lx.strip_latex(src).alias("plain"))
 
 
-@query("latex_blocks", f"""
-WITH d AS (SELECT doc_id, {_W} AS w FROM documents)
+@query("latex_blocks", b.with_(KEYED, body="""
 SELECT doc_id, 'heading' AS class, 1 AS level, 'Part ' || doc_id AS text FROM d
-UNION ALL SELECT doc_id, 'text', 0, 'Some bold text, $x_{{1}}$ and 5% more.' FROM d
-UNION ALL SELECT doc_id, 'list', 0, '\\item one \\begin{{enumerate}}\\item deep\\end{{enumerate}} \\item two' FROM d
+UNION ALL SELECT doc_id, 'text', 0, 'Some bold text, $x_{1}$ and 5% more.' FROM d
+UNION ALL SELECT doc_id, 'list', 0, '\\item one \\begin{enumerate}\\item deep\\end{enumerate} \\item two' FROM d
 UNION ALL SELECT doc_id, 'text', 0, 'tail' FROM d
 UNION ALL SELECT doc_id, 'equation', 0, 'a=b_' || doc_id FROM d
 UNION ALL SELECT doc_id, 'heading', 2, 'Sub' FROM d
-UNION ALL SELECT doc_id, 'text', 0, w FROM d WHERE w <> ''""")
+UNION ALL SELECT doc_id, 'text', 0, w FROM d WHERE w <> ''"""))
 def latex_blocks(spark, sf):
-    return st.latex_blocks(c.documents(spark, sf).select("doc_id", tex_source().alias("text"))).select(
-        "doc_id", "class", "level", "text")
+    src = F.concat(F.lit(r"\section{Part "), "doc_id", F.lit(r"}\label{sec:a} Some \textbf{bold} text\cite{k1}, $x_{1}$ and ~ 5\% more. "),
+                   F.lit(r"\begin{itemize}\item one \begin{enumerate}\item deep\end{enumerate} \item two\end{itemize} tail "),
+                   F.lit(r"\begin{equation}a=b_"), "doc_id", F.lit(r"\end{equation}\subsection*{Sub}"), "w")
+    return st.latex_blocks(keyed_lines(spark, sf).select("doc_id", src.alias("text"))).select("doc_id", "class", "level", "text")
 
 
-@query("list_levels", f"""
-SELECT doc_id, unnest([0, 1, 0]) AS level, unnest(['one', 'deep', 'two tail ']) AS t0, NULL AS text FROM documents
-WHERE false UNION ALL
-SELECT doc_id, 0, '', 'one ' || {_W} FROM documents UNION ALL SELECT doc_id, 1, '', 'deep' FROM documents
-UNION ALL SELECT doc_id, 0, '', 'two' FROM documents""".replace("AS t0, NULL AS text", "AS t0, '' AS text"))
+@query("list_levels", b.with_(KEYED, body="""
+SELECT doc_id, 0 AS level, rtrim('one ' || w) AS text FROM d UNION ALL SELECT doc_id, 1, 'deep' FROM d UNION ALL SELECT doc_id, 0, 'two' FROM d"""))
 def list_levels(spark, sf):
-    w = tx.sub(F.substring(F.split("text", "\n")[0], 1, 20), r"[^\p{L}]", "")
-    src = F.concat(F.lit(r"\begin{itemize}\item[x] one "), w,
-                   F.lit(r" \begin{enumerate}\item deep\end{enumerate} \item two\end{itemize}"))
-    out = st.list_levels(c.documents(spark, sf).select("doc_id", src.alias("text")))
-    return out.select("doc_id", "level", F.lit("").alias("t0"), "text")
+    src = F.concat(F.lit(r"\begin{itemize}\item[x] one "), "w", F.lit(r" \begin{enumerate}\item deep\end{enumerate} \item two\end{itemize}"))
+    return st.list_levels(keyed_lines(spark, sf).select("doc_id", src.alias("text"))).select("doc_id", "level", "text")
 
 
-@query("tabular_cells", f"""
-SELECT doc_id, r - 1 AS row_no, ['Name|Size', {_W} || '|5%'][r] AS cells FROM documents, range(1, 3) x(r)""")
+@query("tabular_cells", b.with_(KEYED, body="""
+SELECT doc_id, r - 1 AS row_no, ['Name|Size', w || '|5%'][r] AS cells FROM d, range(1, 3) x(r)"""))
 def tabular_cells(spark, sf):
-    w = tx.sub(F.substring(F.split("text", "\n")[0], 1, 20), r"[^\p{L}]", "")
-    src = F.concat(F.lit("\\begin{table}\\begin{tabular}{ll}\\toprule Name & \\textbf{Size} \\\\ \\hline "), w,
+    src = F.concat(F.lit("\\begin{table}\\begin{tabular}{ll}\\toprule Name & \\textbf{Size} \\\\ \\hline "), "w",
                    F.lit(" & 5\\% \\\\ \\bottomrule\\end{tabular}\\end{table}"))
-    rows = lx.tabular_cells(src)
-    return c.documents(spark, sf).select("doc_id", F.posexplode(rows).alias("row_no", "r")).select(
+    return keyed_lines(spark, sf).select("doc_id", F.posexplode(lx.tabular_cells(src)).alias("row_no", "r")).select(
         "doc_id", F.col("row_no").cast("long").alias("row_no"), F.array_join("r", "|").alias("cells"))
 
 
@@ -347,24 +335,26 @@ def escape_markup(spark, sf):
 _EQ = ["a_{i} = \\frac{1}{2}", "x $ y", "{a", "\\begin{align}b", "\\input{evil}", "$z$"]
 
 
-@query("equation_audit", """
-SELECT doc_id, slide_no, ['', 'unbalanced $', 'unbalanced braces', 'unbalanced \\begin/\\end',
-   'contains \\input, which would break the document', ''][slide_no % 6 + 1] AS problem,
-  slide_no % 6 NOT IN (1, 2) AS is_latex FROM (
-  SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS BIGINT) AS slide_no FROM documents)
-""".replace("slide_no % 6 NOT IN (1, 2)", "slide_no % 6 NOT IN (2, 4)"))
+@query("equation_audit", b.with_(b.LINES, f"""
+e AS (SELECT doc_id, slide_no, [{', '.join("'" + x + "'" for x in _EQ)}][slide_no % 6 + 1] || ' ' || line AS eq FROM lines),
+k AS (SELECT *, list_filter([{', '.join("'" + x + "'" for x in lx.FORBIDDEN)}], lambda t: contains(lower(eq), t))[1] AS bad,
+             list_sort(regexp_extract_all(eq, '\\\\begin\\{{(\\w+\\*?)\\}}', 1)) AS opens, list_sort(regexp_extract_all(eq, '\\\\end\\{{(\\w+\\*?)\\}}', 1)) AS closes,
+             len(eq) - len(replace(eq, '$', '')) AS dollars, len(replace(eq, '{{', '')) <> len(replace(eq, '}}', '')) AS uneven FROM e)""", body="""
+SELECT doc_id, slide_no, CASE WHEN bad IS NOT NULL THEN 'forbidden ' || bad WHEN dollars % 2 = 1 THEN 'dollars' WHEN uneven THEN 'braces'
+         WHEN opens <> closes THEN 'environments' ELSE '' END AS problem,
+       regexp_matches(eq, '\\\\(frac|begin)\\b|[_^]\\{|\\$') AS is_latex FROM k"""))
 def equation_audit(spark, sf):
-    eq = F.element_at(F.array(*[F.lit(e) for e in _EQ]), (F.col("slide_no") % 6 + 1).cast("int"))
+    eq = F.concat(F.element_at(F.array(*[F.lit(e) for e in _EQ]), (F.col("slide_no") % 6 + 1).cast("int")), F.lit(" "), "line")
     return c.lines(spark, sf).select("doc_id", "slide_no", lx.equation_problem(eq).alias("problem"),
                                      lx.looks_like_latex(eq).alias("is_latex"))
 
 
-@query("math_delimited", """
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '$a$' ELSE '\\[a_{' || doc_id || '}\\]' END AS math,
-       '(a)/(' || doc_id || ') <= x' AS plain, 'R $\\leq \\varepsilon$ ' || doc_id AS prose FROM documents""")
+@query("math_delimited", b.with_(KEYED, body="""
+SELECT doc_id, CASE WHEN w < 'm' THEN '$' || w || '$' ELSE '\\[a_{' || w || '}\\]' END AS math,
+       '(a)/(' || w || ') <= x' AS plain, rtrim('R $\\leq \\varepsilon$ ' || w) AS prose FROM d"""))
 def math_delimited(spark, sf):
-    eq = F.when(F.col("doc_id") % 2 == 0, "$a$").otherwise(F.concat(F.lit(" a_{"), "doc_id", F.lit("} ")))
-    frac = F.concat(F.lit("$\\frac{a}{"), "doc_id", F.lit("} \\le x$"))
-    prose = F.concat(F.lit("R ≤ ε "), "doc_id")
-    return c.documents(spark, sf).select("doc_id", lx.as_math(eq).alias("math"), lx.strip_math(frac).alias("plain"),
+    eq = F.when(F.col("w") < "m", F.concat(F.lit("$"), "w", F.lit("$"))).otherwise(F.concat(F.lit(" a_{"), "w", F.lit("} ")))
+    frac = F.concat(F.lit("$\\frac{a}{"), "w", F.lit("} \\le x$"))
+    prose = F.concat(F.lit("R ≤ ε "), "w")
+    return keyed_lines(spark, sf).select("doc_id", lx.as_math(eq).alias("math"), lx.strip_math(frac).alias("plain"),
                                          lx.unicode_math_to_text(prose).alias("prose"))

@@ -210,17 +210,13 @@ def notes_merged(spark, sf):
 
 
 @query("captions_cleaned", b.with_(b.LINES, f"""
-t AS (SELECT doc_id, slide_no, substr(line, 1, 50) AS line,
-             CASE WHEN doc_id % 2 = 0 THEN 'Figure ' ELSE '表 ' END || slide_no || ': ' || substr(line, 1, 50) AS cap
-      FROM lines),
+t AS (SELECT doc_id, slide_no, line, CASE WHEN doc_id % 2 = 0 THEN 'Figure ' ELSE '表 ' END || slide_no || ': ' || line AS cap FROM lines),
 k AS (SELECT *, {b.strip("substr(cap, instr(cap, ':') + 1)")} AS cleaned FROM t)""", body="""
 SELECT doc_id, slide_no, CASE WHEN len(cleaned) BETWEEN 2 AND 40 THEN cleaned ELSE line END AS title,
        cleaned AS text FROM k"""))
 def captions_cleaned(spark, sf):
     head = F.when(F.col("doc_id") % 2 == 0, F.lit("Figure ")).otherwise(F.lit("表 "))
-    line = F.substring("line", 1, 50)
-    t = c.lines(spark, sf).select("doc_id", "slide_no", line.alias("line"),
-                                  F.concat(head, F.col("slide_no"), F.lit(": "), line).alias("cap"))
+    t = c.lines(spark, sf).select("doc_id", "slide_no", "line", F.concat(head, F.col("slide_no"), F.lit(": "), "line").alias("cap"))
     return t.select("doc_id", "slide_no", tx.caption_title("cap", "line").alias("title"),
                     tx.caption_text("cap").alias("text"))
 
@@ -281,14 +277,13 @@ def offset_verify(spark, sf):
 
 
 @query("spans_resolved", """
-WITH sp AS (SELECT doc_id, text, i AS span_no, 10 * i AS start, 10 * i + 12 AS e
-            FROM documents, range(0, 3) r(i))
-SELECT doc_id, CAST(span_no AS BIGINT) AS span_no, substr(text, start + 1, e - start) AS quote FROM sp""")
+WITH sp AS (SELECT doc_id, text, unnest(range(0, len(text) // 40 + 1)) AS span_no FROM documents)
+SELECT doc_id, CAST(span_no AS BIGINT) AS span_no, substr(text, CAST(40 * span_no AS INTEGER) + 1, 52) AS quote FROM sp""")
 def spans_resolved(spark, sf):
+    """Overlapping spans over the whole of every document; the last reaches beyond its end."""
     docs = c.documents(spark, sf).select("doc_id", "text")
-    spans = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("span_no")).select(
-        "doc_id", F.col("span_no").cast("long").alias("span_no"), (F.col("span_no") * 10).alias("start"),
-        (F.col("span_no") * 10 + 12).alias("end"))
+    spans = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 40).cast("int"))).alias("span_no")).select(
+        "doc_id", F.col("span_no").cast("long").alias("span_no"), (F.col("span_no") * 40).alias("start"), (F.col("span_no") * 40 + 52).alias("end"))
     return pv.resolve_spans(spans, docs).select("doc_id", "span_no", "quote")
 
 

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,7 +102,11 @@ def test_join_lines(spark):
 def test_latex(spark):
     assert one(spark, lx.strip_latex("t"), t=r"A \textbf{b} $x_1$\cite{k} 5\%") == "A b $x_1$ 5%"
     assert one(spark, lx.escape_latex("t"), t="a\\b & {c}") == r"a\textbackslash{}b \& \{c\}"
-    assert one(spark, lx.equation_problem("t"), t=r"\begin{align}x") == r"unbalanced \begin/\end"
+    assert one(spark, lx.equation_problem("t"), t=r"\begin{align}x") == "environments"
+    assert one(spark, lx.equation_problem("t"), t=r"\Input{x} $") == r"forbidden \input"
+    # A formula inside a dropped argument goes with it, and nested drops do not save the note around them.
+    assert one(spark, lx.strip_latex("t"), t=r"$a$ x\footnote{n $x_{2}$ \label{q} b} y $b$") == "$a$ x y $b$"
+    assert one(spark, lx.strip_math("t"), t=r"\[\sqrt{\frac{a}{b}}^{2} \alpha\]") == "sqrt((a)/(b))2"
     assert one(spark, lx.strip_math("t"), t=r"$\frac{a}{b} \le c$") == "(a)/(b) <= c"
 
 
@@ -110,31 +117,93 @@ def test_cues(spark, text, n, secs):
     assert one(spark, cues.duration_seconds("t"), t=text) == secs
 
 
+def plain_lines(text, width, size, em):
+    """Lines by the rules as they are told: a list of (kind, word), and the line that is open."""
+    words = re.findall(r"[A-Za-z0-9][A-Za-z0-9\-'./]*|[^\S\u3000]+|(?s:.)", text)
+    length = lambda s: sum(em(ch) for ch in s)
+    room, done, line, used = int(round(width / size * ms.EM, 3) // 1), [], "", 0
+    for word in words:
+        w = length(word)
+        fits = used + w <= room
+        if word.isspace() and not (line and fits):
+            if line:
+                done.append(line)
+            line, used = "", 0
+        elif line and not fits and word[0] in ms.CLOSING:
+            done.append(line + word)
+            line, used = "", 0
+        else:
+            if line and not fits:
+                kept = line.rstrip(ms.OPENING)
+                done.append(kept)
+                word, line, used = line[len(kept):] + word, "", 0
+            if w <= room:
+                line, used = line + word, used + w
+                continue
+            for ch in word:
+                if line and used + em(ch) > room:
+                    done.append(line)
+                    line, used = "", 0
+                line, used = line + ch, used + em(ch)
+    done += [line] if line else []
+    return done or [""]
+
+
+def class_em(ch):
+    return ms.WIDE_EM if ms.is_wide(ch) else ms.SPACE_EM if ch == " " else ms.DIGIT_EM if ch.isdigit() else ms.LETTER_EM
+
+
 def test_wrapping_rules():
-    em = ms.Advances()
-    assert ms.wrap("alpha beta gamma", 60.0, 10.0, em) == ["alpha beta ", "gamma"]
-    lines = ms.wrap("研究方法，实验结果", 40.0, 10.0, em)
-    assert lines == ["研究方法，", "实验结果"]  # a closing mark never starts a line
-    assert all(not x.startswith("，") for x in lines)
+    assert plain_lines("alpha beta gamma", 60.0, 10.0, class_em) == ["alpha beta ", "gamma"]
+    assert plain_lines("研究方法，实验结果", 40.0, 10.0, class_em) == ["研究方法，", "实验结果"]  # a closing mark never starts a line
+
+
+def test_wrapping_against_a_plain_rendering(spark):
+    rnd = random.Random(3)
+    signs = "aaabcdefgh  ,.;()[]（【“，。！研究方法与12-'/\t３é\u3000"
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(0, 60))) for _ in range(150)]
+    texts += ["", "   ", "((((aaaaaaaaaaaaaaaaa", "（（（研究", "a" * 300, "甲" * 40 + "，，，，", "word " * 400]
+    rows = [(t, w, z) for t in texts for w, z in ((60.0, 10.0), (33.3, 12.0), (5.0, 10.0), (200.0, 14.0))]
+    given = {"a": 0.31, "研": 0.9, " ": 0.0}
+    df = spark.createDataFrame(rows, "t string, w double, z double")
+    advances = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
+    got = df.select("*", ms.wrap_lines("t", F.col("w"), F.col("z")).alias("a"), ms.wrap_lines("t", F.col("w"), F.col("z"), advances).alias("b")).collect()
+    for r in got:
+        for em, made in ((class_em, r.a), (lambda ch: round(given.get(ch, 0) * ms.EM) or class_em(ch), r.b)):
+            lines = plain_lines(r.t, r.w, r.z, em)
+            assert made.lines == len(lines)
+            assert made.widest == pytest.approx(max(sum(map(em, x)) for x in lines) / ms.EM * r.z)
+    none = spark.createDataFrame([(None, 10.0), ("x y", 0.0)], "t string, w double").select(ms.wrap_lines("t", F.col("w"), F.lit(10)).alias("m")).collect()
+    assert [r.m.lines for r in none] == [1, 1]
 
 
 @pytest.mark.parametrize("lang", ["zh", "en"])
-def test_capacity_is_a_sound_bound(spark, lang):
-    boxes = [(w, h, s) for w, h in ((300, 100), (600, 250), (150, 40), (80, 300)) for s in (12, 20)]
-    df = spark.createDataFrame([(float(w), float(h), float(s), lang) for w, h, s in boxes], "w double, h double, s double, l string")
-    got = df.withColumn("n", ms.capacity_units(F.col("w"), F.col("h"), F.col("s"), F.col("l"))).collect()
-    em, spacing = ms.Advances(), ms.CJK_SPACING if lang == "zh" else ms.LATIN_SPACING
+def test_capacity_is_the_longest_sample_that_fits(spark, lang):
+    boxes = [(w, h, z) for w, h in ((300, 100), (600, 250), (150, 40), (80, 300), (20, 100), (0, 50), (50, 0)) for z in (12, 20)]
+    df = spark.createDataFrame([(float(w), float(h), float(z), lang) for w, h, z in boxes], "w double, h double, z double, l string")
+    got = df.withColumn("n", ms.capacity_units(F.col("w"), F.col("h"), F.col("z"), F.col("l"))).collect()
+    spacing = ms.CJK_SPACING if lang == "zh" else ms.LATIN_SPACING
 
     def fits(n, r):
         words = ms.FILLER_EN.split()
         text = " ".join((words * (n // len(words) + 1))[:n]) if lang == "en" else (ms.FILLER_ZH * (n // len(ms.FILLER_ZH) + 1))[:n]
-        return len(ms.wrap(text, r.w, r.s, em)) * r.s * spacing <= r.h
+        return len(plain_lines(text, r.w, r.z, class_em)) <= r.h // (r.z * spacing)
 
     for r in got:
         assert r.n == 0 or fits(r.n, r)
+        mean = sum(map(class_em, ms.MEAN_SAMPLES[lang])) / len(ms.MEAN_SAMPLES[lang]) / ms.EM
+        most = int(r.h // (r.z * spacing) * (r.w / (mean * r.z)) / (ms.MEAN_WORD if lang == "en" else 1))
+        assert r.n >= most or not fits(r.n + 1, r)
     assert any(r.n > 0 for r in got)
 
 
+def test_widths_in_two_fonts(spark):
+    texts = spark.createDataFrame([(1, "aab 研"), (2, ""), (None, "b")], "k int, t string")
+    fonts = spark.createDataFrame([("s", "a", 0.3), ("s", "b", 0.0), ("m", "a", 0.6), ("m", "b", 0.6)], "font string, ch string, em double")
+    got = {(r.k, r.font): round(r.em, 6) for r in ms.measured_widths(texts, ["k"], "t", fonts).collect()}
+    assert got == {(1, "s"): 2.38, (1, "m"): 3.06, (2, "s"): 0.0, (2, "m"): 0.0, (None, "s"): 0.52, (None, "m"): 0.6}
+
+
 def test_table_function_equals_the_expression(spark):
     from briefloom.functions import udtf
 
