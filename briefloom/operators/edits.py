@@ -18,7 +18,7 @@ from briefloom.operators import model as md
 # What each edit writes, needs and triggers.
 FIELD = {"set_text": "content", "delete_block": "channel", "set_channel": "channel", "set_importance": "importance",
          "pin": "pinned", "set_dwell": "dwell_seconds", "retime": "total_seconds", "set_slide_role": "role",
-         "set_backup": "is_backup", "set_title": "title", "set_caption": "caption", "set_style": "tags"}
+         "set_backup": "is_backup", "set_title": "title", "set_caption": "caption", "set_style": "tags", "replace_asset": "asset_ref"}
 NEEDS_BLOCK = ("set_text", "rewrite", "split_block", "merge_blocks", "delete_block", "set_channel", "set_importance",
                "pin", "move_block", "replace_asset", "set_style")
 NEEDS_SLIDE = ("set_dwell", "split_slide", "set_slide_role", "set_backup")
@@ -35,12 +35,19 @@ def latest_values(ops: DataFrame) -> DataFrame:
     """Final value of every (deck, target, field): the last writer wins. Combines on the map side, so a target with
     any number of edits leaves each task as one row."""
     fields = F.create_map(*[F.lit(x) for kv in FIELD.items() for x in kv])
+    value = F.when(F.col("op") == "delete_block", "drop").otherwise(F.col("value"))  # a deletion says no value
     return (ops.withColumn("field", fields[F.col("op")]).filter("field IS NOT NULL")
             .groupBy("deck_uid", "target", "field").agg(
-                F.max_by("value", _order()).alias("value"), F.max("seq").alias("seq"),
+                F.max_by(value, _order()).alias("value"), F.max("seq").alias("seq"),
                 F.count(F.lit(1)).alias("edits")))
 
 
+def latest_arguments(ops: DataFrame, arguments: Sequence[str]) -> DataFrame:
+    """The last value given for each argument of a target's edits; an edit that leaves one out does not clear it."""
+    last = [F.max_by(a, F.when(F.col(a).isNotNull(), _order())).alias(a) for a in arguments]
+    return ops.groupBy("target").agg(*last)
+
+
 def truncate_after(ops: DataFrame, cuts: DataFrame) -> DataFrame:
     """Drop everything after the named patch of each deck (``cuts``: deck_uid, patch_id)."""
     at = ops.join(cuts, ["deck_uid", "patch_id"]).groupBy("deck_uid").agg(F.max("seq").alias("__at"))
@@ -105,6 +112,8 @@ def reject_invalid(ops: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFra
               .when(kind.isNull(), "no such node")
               .when(op.isin(*NEEDS_BLOCK) & (kind != "block"), F.concat(kind, F.lit(" where a block is needed")))
               .when(op.isin(*NEEDS_SLIDE) & (kind != "slide"), F.concat(kind, F.lit(" where a slide is needed")))
+              .when(op.isin("reorder_slides") & (kind != "section"), F.concat(kind, F.lit(" where a section is needed")))
+              .when((op == "insert_block") & ~kind.isin("block", "slide"), F.concat(kind, F.lit(" where a block or slide is needed")))
               .when((op == "set_channel") & F.col("is_visual") & (F.col("value") == "script"), "a visual cannot be spoken")
               .when((op == "set_text") & (tx.strip(F.coalesce("value", F.lit(""))) == ""), "empty text")
               .when((op == "set_importance") & ~F.col("value").cast("double").between(0, 1000), "importance out of range")
@@ -128,12 +137,15 @@ def set_column(blocks: DataFrame, latest: DataFrame, field: str, column: str, ca
 
 
 def set_text(blocks: DataFrame, ops: DataFrame) -> DataFrame:
-    """Hand-written text is no longer the source's words: verbatim and compressed become authored."""
-    v = ops.groupBy(F.col("target").alias("block_uid")).agg(F.max_by("value", _order()).alias("__v"))
+    """Hand-written text is no longer the source's words: verbatim and compressed become authored.
+
+    A caption given to a block is its text too, but says nothing about whose words they are."""
+    by_hand = F.bool_or(F.col("op") == "set_text") if "op" in ops.columns else F.lit(True)
+    v = ops.groupBy(F.col("target").alias("block_uid")).agg(F.max_by("value", _order()).alias("__v"), by_hand.alias("__h"))
     j = blocks.join(v, "block_uid", "left")
-    owned = F.col("__v").isNotNull() & F.col("derivation").isin("verbatim", "compressed")
+    owned = F.coalesce("__h", F.lit(False)) & F.col("derivation").isin("verbatim", "compressed")
     return (j.withColumn("derivation", F.when(owned, "authored").otherwise(F.col("derivation")))
-            .withColumn("content", F.coalesce("__v", "content")).drop("__v"))
+            .withColumn("content", F.coalesce("__v", "content")).drop("__v", "__h"))
 
 
 def rewrite(blocks: DataFrame, ops: DataFrame) -> DataFrame:
@@ -193,16 +205,18 @@ def merge_blocks(blocks: DataFrame, ops: DataFrame, separator: str = "; ") -> tu
 
     ``ops``: op_id, target, others (array). The joined text is as long as one edit's list, so it gathers per edit.
     """
-    listed = ops.select("op_id", "target", F.posexplode(F.concat(F.array("target"), "others")).alias("k", "block_uid"))
+    between = F.coalesce("separator", F.lit(separator)) if "separator" in ops.columns else F.lit(separator)
+    ops = ops.withColumn("__sep", between)
+    listed = ops.select("op_id", "target", "__sep", F.posexplode(F.concat(F.array("target"), "others")).alias("k", "block_uid"))
     slim = blocks.select("block_uid", "slide_uid", "content", "spans")
     found = listed.join(slim, "block_uid", "left")
     per = found.groupBy("op_id", "target").agg(
-        F.countDistinct("slide_uid").alias("places"), F.count_if(F.col("slide_uid").isNull()).alias("lost"),
+        F.first("__sep").alias("sep"), F.countDistinct("slide_uid").alias("places"), F.count_if(F.col("slide_uid").isNull()).alias("lost"),
         F.array_sort(F.collect_list(F.struct("k", "content", "spans"))).alias("l"))
     ok = (F.col("places") == 1) & (F.col("lost") == 0)
     refused = per.filter(~ok).select("op_id", "target")
     merged = per.filter(ok).select(
-        F.col("target").alias("block_uid"), F.array_join(F.transform("l", lambda x: x["content"]), separator).alias("__c"),
+        F.col("target").alias("block_uid"), F.concat_ws("", F.transform("l", lambda x, i: F.concat(F.when(i > 0, F.col("sep")).otherwise(""), x["content"]))).alias("__c"),
         F.array_distinct(F.flatten(F.transform("l", lambda x: x["spans"]))).alias("__s"))
     gone = listed.filter("k > 0").join(per.filter(ok).select("op_id"), "op_id", "left_semi").select("block_uid")
     left = blocks.join(gone, "block_uid", "left_anti").join(merged, "block_uid", "left")

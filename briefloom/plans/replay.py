@@ -1,16 +1,21 @@
 """Applying an edit log to the tables of many decks at once.
 
-Edits that only set columns never depend on each other's structure, so everything a deck receives between two structural
-patches collapses to its final values: one aggregation, however many edits there are. A structural patch (splitting,
-merging, moving, inserting, reordering, rewriting, removing) closes a stage. Stage by stage, all decks advance together;
-inside a stage every step is a join over the whole tables, so a deck with most of the edits or blocks is spread like any
-other. The number of stages is the largest number of structural patches of one deck. Each stage is written to the
-checkpoint folder, so a lost executor repeats at most one stage.
+Edits that only set columns never depend on each other's structure, so everything that happens between two structural
+patches collapses to final values: one aggregation, however many edits there are. A structural patch (splitting, merging,
+moving, inserting, reordering, rewriting, removing, or any patch that spans slides) depends on the earlier ones that touch
+the same slide and on nothing else. Its stage is the longest chain of such patches that ends in it, so patches on different
+slides of a deck share a stage, and a log has as many stages as its longest chain. A deck leaves the work after its last
+stage; what is written per stage are the decks still in it, so a lost executor repeats at most one stage.
+
+A slide stands for all that comes out of it: a page split off belongs to the slide it was split from. A block that the log
+moves belongs to every slide it may be on. A patch that names something the log itself creates may touch any slide of its
+deck, so it waits for all earlier patches of the deck and all later ones wait for it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,48 +23,177 @@ from pyspark.sql import functions as F
 from briefloom import scale
 from briefloom.operators import edits as ed
 from briefloom.operators import model as md
-from briefloom.session import cut_lineage
+from briefloom.session import cut_lineage, discard
 
 STRUCTURAL = ("rewrite", "split_block", "merge_blocks", "insert_block", "move_block", "reorder_slides", "split_slide")
+CREATING = ("split_block", "insert_block", "split_slide")
+# What an edit may say beyond deck_uid, seq, op_no, patch_id, op and target; a log that lacks a column says nothing there.
+ARGUMENTS = {"value": "string", "hard": "boolean", "max_units": "int", "preserve_spans": "boolean", "parts": "array<string>", "others": "array<string>",
+             "separator": "string", "to_slide": "string", "index": "int", "position": "string", "order": "array<string>", "after_block": "string",
+             "asset_ref": "string", "subtitle": "string", "layout_hint": "string", "total_seconds": "int", "density": "string",
+             "target_dwell_seconds": "double", "font_size_pt": "double", "emphasis": "string", "new_type": "string", "new_derivation": "string"}
 
 
 @dataclass(frozen=True)
 class Decks:
     """``slides``: deck_uid, section_uid, slide_uid, slide_no, title, role, is_backup, dwell_seconds, dwell_locked.
     ``blocks``: deck_uid, slide_uid, block_uid, block_no, type, content, channel, channel_pinned, pinned,
-    importance_milli, derivation, spans, speaker_note, word_budget. Uids are strings, unique over all decks."""
+    importance_milli, derivation, spans, speaker_note, word_budget. ``sections``: deck_uid, section_uid, title. ``assets``:
+    deck_uid, asset_uid, caption. ``decks``: deck_uid, total_seconds, density, target_dwell_seconds. Uids are strings,
+    unique over all decks. Blocks may have asset_ref and tags, slides subtitle and layout_hint; what is not there is
+    added as null, and tables not given are made from the slides (no assets)."""
 
     slides: DataFrame
     blocks: DataFrame
+    sections: DataFrame | None = None
+    assets: DataFrame | None = None
+    decks: DataFrame | None = None
+
+    def whole(self) -> Decks:
+        """With all tables and columns."""
+        null = lambda kind: F.lit(None).cast(kind)
+        add = lambda df, **cols: df.withColumns({c: null(k) for c, k in cols.items() if c not in df.columns})
+        slides = add(self.slides, subtitle="string", layout_hint="string").withColumn("slide_no", F.col("slide_no").cast("double"))
+        sections = slides.select("deck_uid", "section_uid").distinct() if self.sections is None else self.sections
+        assets = slides.select("deck_uid", null("string").alias("asset_uid")).limit(0) if self.assets is None else self.assets
+        decks = slides.select("deck_uid").distinct() if self.decks is None else self.decks
+        return Decks(slides, add(self.blocks, asset_ref="string", tags="array<string>"), add(sections, title="string"), add(assets, caption="string"),
+                     add(decks, total_seconds="int", density="string", target_dwell_seconds="double"))
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {"slides": self.slides, "blocks": self.blocks, "sections": self.sections, "assets": self.assets, "decks": self.decks}
+
+    def each(self, change: Callable[[DataFrame], DataFrame]) -> Decks:
+        return Decks(**{k: change(t) for k, t in self.tables().items()})
 
     def nodes(self) -> DataFrame:
-        s = self.slides.select("deck_uid", F.col("slide_uid").alias("uid"), F.lit("slide").alias("kind"), F.lit(False).alias("is_visual"))
-        sec = self.slides.select("deck_uid", F.col("section_uid").alias("uid"), F.lit("section").alias("kind"),
-                                 F.lit(False).alias("is_visual")).distinct()
-        b = self.blocks.select("deck_uid", F.col("block_uid").alias("uid"), F.lit("block").alias("kind"), md.is_visual().alias("is_visual"))
-        return s.unionByName(sec).unionByName(b)
-
-
-def _set_columns(d: Decks, ops: DataFrame) -> Decks:
-    """Final values of column edits, already found valid."""
-    last = ed.latest_values(ops.filter("op <> 'set_text'"))
-    blocks = ed.set_text(d.blocks, ops.filter("op = 'set_text'"))
-    for field, column, cast in (("channel", "channel", "string"), ("importance", "importance_milli", "int"), ("pinned", "pinned", "boolean")):
-        blocks = ed.set_column(blocks, last, field, column, cast)
-    by_hand = ops.filter("op = 'set_channel'").select(F.col("target").alias("block_uid"), F.lit(True).alias("__h")).distinct()
-    blocks = blocks.join(by_hand, "block_uid", "left").withColumn(
-        "channel_pinned", F.coalesce("__h", "channel_pinned")).drop("__h")
-    slides = d.slides
-    for field, column, cast in (("title", "title", "string"), ("role", "role", "string"), ("is_backup", "is_backup", "boolean"),
-                                ("dwell_seconds", "dwell_seconds", "double")):
-        slides = ed.set_column(slides, last, field, column, cast, key="slide_uid")
-    timed = ops.filter("op = 'set_dwell'").select(F.col("target").alias("slide_uid"), F.lit(True).alias("__h")).distinct()
-    slides = slides.join(timed, "slide_uid", "left").withColumn("dwell_locked", F.coalesce("__h", "dwell_locked")).drop("__h")
-    return Decks(slides.select(*d.slides.columns), blocks.select(*d.blocks.columns))
+        no = F.lit(False).alias("is_visual")
+        one = lambda t, uid, kind, seen=no: t.select("deck_uid", F.col(uid).alias("uid"), F.lit(kind).alias("kind"), seen)
+        return (one(self.slides, "slide_uid", "slide").unionByName(one(self.sections, "section_uid", "section"))
+                .unionByName(one(self.blocks, "block_uid", "block", md.is_visual().alias("is_visual")))
+                .unionByName(one(self.assets, "asset_uid", "asset")).unionByName(one(self.decks, "deck_uid", "deck")))
+
+
+def with_arguments(ops: DataFrame) -> DataFrame:
+    return ops.withColumns({c: F.lit(None).cast(k) for c, k in ARGUMENTS.items() if c not in ops.columns})
+
+
+def _structural() -> F.Column:
+    return F.col("op").isin(*STRUCTURAL) | ((F.col("op") == "delete_block") & F.coalesce("hard", F.lit(False)))
+
+
+# --------------------------------------------------------------------------- stages
+
+
+def touched(d: Decks, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patches, touches): deck_uid, patch_id, seq, staged, wild per patch; deck_uid, patch_id, place per place it touches.
+
+    A place is a slide, section, asset or deck as the tables have it before the log. ``wild`` patches may touch any place.
+    """
+    named = F.array_compact(F.concat(F.array("target", "to_slide"), *[F.coalesce(c, F.array().cast("array<string>")) for c in ("others", "order")]))
+    # A split puts a page into its section.
+    split = ops.filter("op = 'split_slide'").join(d.slides.select(F.col("slide_uid").alias("target"), F.col("section_uid").alias("uid")), "target")
+    uids = (ops.select("deck_uid", "patch_id", F.explode(F.array_distinct(named)).alias("uid"))
+            .unionByName(split.select("deck_uid", "patch_id", "uid")).distinct())
+    own = d.nodes().filter("kind <> 'block'").select("deck_uid", "uid", F.col("uid").alias("place"))
+    blocks = d.blocks.select("deck_uid", F.col("block_uid").alias("uid"), F.col("slide_uid").alias("place"))
+    moved = ops.filter("op = 'move_block'").select("deck_uid", F.col("target").alias("uid"), F.col("to_slide").alias("place"))
+    homes = own.unionByName(blocks).unionByName(moved.join(d.slides.select("deck_uid", F.col("slide_uid").alias("place")), ["deck_uid", "place"], "left_semi"))
+    met = uids.join(homes.distinct(), ["deck_uid", "uid"], "left")
+    made = ops.filter(F.col("op").isin(*CREATING)).select("deck_uid").distinct().withColumn("__made", F.lit(True))
+    met = cut_lineage(met.join(made, "deck_uid", "left").withColumn("unknown", F.col("place").isNull() & F.coalesce("__made", F.lit(False))))
+    per = met.groupBy("deck_uid", "patch_id").agg(F.countDistinct("place").alias("places"), F.bool_or("unknown").alias("wild"))
+    patches = (ops.groupBy("deck_uid", "patch_id").agg(F.min("seq").alias("seq"), F.bool_or(_structural()).alias("deep"))
+               .join(per, ["deck_uid", "patch_id"], "left"))
+    wild = F.coalesce("wild", F.lit(False))
+    staged = F.col("deep") | wild | (F.coalesce("places", F.lit(0)) > 1)
+    return (cut_lineage(patches.select("deck_uid", "patch_id", "seq", staged.alias("staged"), wild.alias("wild"))),
+            met.filter("place IS NOT NULL").select("deck_uid", "patch_id", "place").distinct())
+
+
+def stages(patches: DataFrame, touches: DataFrame) -> DataFrame:
+    """(deck_uid, patch_id, staged, wild, stage): when a patch is applied.
+
+    A staged patch has a stage of its own from 1 on, after the stages of all earlier staged patches that touch one of
+    its places; any other patch is applied after the stage it names, before the next. The longest chain is found by joins with
+    the patch before on each place, until nothing changes.
+    """
+    keys = ["deck_uid", "patch_id"]
+    epochs = cut_lineage(scale.running(patches, ["deck_uid"], scale.position_chunk("seq"), ["seq"], {"epoch": F.col("wild").cast("int")}))
+    at = touches.join(epochs.filter("NOT wild"), keys)
+    before = cut_lineage(scale.latest_before(at, ["deck_uid", "epoch", "place"], scale.position_chunk("seq"), ["seq"],
+                                             {"before": F.when(F.col("staged"), F.col("patch_id"))}, inclusive=False))
+    links = before.filter("before IS NOT NULL").select(*keys, "before", "staged").distinct()
+    level = cut_lineage(epochs.filter("staged AND NOT wild").select(*keys, F.lit(1).alias("level")))
+    earlier = lambda lv: lv.select("deck_uid", F.col("patch_id").alias("before"), F.col("level").alias("__b"))
+    while True:
+        reached = links.filter("staged").join(earlier(level), ["deck_uid", "before"]).groupBy(*keys).agg(F.max("__b").alias("__b"))
+        grown = cut_lineage(level.join(reached, keys, "left").select(*keys, (F.coalesce("__b", F.lit(0)) + 1).alias("level"), F.col("level").alias("was")))
+        done = grown.filter("level <> was").isEmpty()
+        discard(level)
+        level = grown.drop("was")
+        if done:
+            break
+    free = links.filter("NOT staged").join(earlier(level), ["deck_uid", "before"]).groupBy(*keys).agg(F.max("__b").alias("level"))
+    local = epochs.join(level.unionByName(free), keys, "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    deep = local.groupBy("deck_uid", "epoch").agg(F.max("level").alias("deepest"), F.max(F.col("wild").cast("int")).alias("barrier"))
+    offsets = scale.running(deep, ["deck_uid"], scale.position_chunk("epoch"), ["epoch"], {"offset": F.col("deepest") + F.col("barrier")})
+    stage = F.col("offset") + F.when(F.col("wild"), F.col("deepest") + 1).otherwise(F.col("level"))
+    return cut_lineage(local.join(offsets, ["deck_uid", "epoch"]).select(*keys, "seq", "staged", "wild", stage.cast("int").alias("stage")))
+
+
+# ----------------------------------------------------------------------- application
+
+
+def _set_columns(d: Decks, ops: DataFrame, kinds: set[str]) -> Decks:
+    """Final values of column edits of the given kinds, already found valid. Tables that no kind writes stay as they are."""
+    last = ed.latest_values(ops.filter("op NOT IN ('set_text', 'set_style', 'replace_asset')"))
+    slides, blocks, sections, assets, decks = d.slides, d.blocks, d.sections, d.assets, d.decks
+
+    def of(kind: str) -> DataFrame:
+        return ops.filter(F.col("op") == kind)
+
+    def by_hand(t: DataFrame, kind: str, key: str, column: str) -> DataFrame:
+        hit = of(kind).select(F.col("target").alias(key), F.lit(True).alias("__h")).distinct()
+        return t.join(hit, key, "left").withColumn(column, F.coalesce("__h", column)).drop("__h")
+
+    if kinds & {"set_text", "set_caption"}:
+        on_assets = d.assets.select(F.col("asset_uid").alias("target"))
+        blocks = ed.set_text(blocks, of("set_text").unionByName(of("set_caption").join(on_assets, "target", "left_anti")))
+    for column, cast, field, writers in (("channel", "string", "channel", {"set_channel", "delete_block"}), ("importance_milli", "int", "importance", {"set_importance"}),
+                                         ("pinned", "boolean", "pinned", {"pin"})):
+        if kinds & writers:
+            blocks = ed.set_column(blocks, last, field, column, cast)
+    if "set_channel" in kinds:
+        blocks = by_hand(blocks, "set_channel", "block_uid", "channel_pinned")
+    if "set_style" in kinds:
+        blocks = ed.set_style(blocks.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))), of("set_style"))
+    if "replace_asset" in kinds:
+        blocks, _ = ed.replace_assets(blocks, of("replace_asset"), d.assets)
+    for column, cast, kind in (("title", "string", "set_title"), ("role", "string", "set_slide_role"), ("is_backup", "boolean", "set_backup"),
+                               ("dwell_seconds", "double", "set_dwell")):
+        if kind in kinds:
+            slides = ed.set_column(slides, last, column, column, cast, key="slide_uid")
+    for kind, argument in (("set_title", "subtitle"), ("set_slide_role", "layout_hint")):
+        if kind in kinds:
+            said = ed.latest_arguments(of(kind), [argument]).withColumnsRenamed({"target": "slide_uid", argument: "__v"})
+            slides = slides.join(said, "slide_uid", "left").withColumn(argument, F.coalesce("__v", argument)).drop("__v")
+    if "set_dwell" in kinds:
+        slides = by_hand(slides, "set_dwell", "slide_uid", "dwell_locked")
+    if "set_title" in kinds:
+        sections = ed.set_column(sections, last, "title", "title", "string", key="section_uid")
+    if "set_caption" in kinds:
+        assets = ed.set_column(assets, last, "caption", "caption", "string", key="asset_uid")
+    if "retime" in kinds:
+        timing = ("total_seconds", "density", "target_dwell_seconds")
+        said = ed.latest_arguments(of("retime"), timing).withColumnsRenamed({"target": "deck_uid", **{c: f"__{c}" for c in timing}})
+        decks = decks.join(said, "deck_uid", "left").withColumns({c: F.coalesce(f"__{c}", c) for c in timing})
+    same = lambda new, old: old if new is old else new.select(*old.columns)
+    return Decks(same(slides, d.slides), same(blocks, d.blocks), same(sections, d.sections), same(assets, d.assets), same(decks, d.decks))
 
 
 def _structural_step(d: Decks, ops: DataFrame, kinds: set[str]) -> tuple[Decks, DataFrame]:
-    """One edit per deck; returns the new tables and the targets that were refused."""
+    """One edit per patch; returns the new tables and the targets that were refused."""
     slides, blocks, refused = d.slides, d.blocks, None
 
     def refuse(df: DataFrame) -> None:
@@ -70,90 +204,155 @@ def _structural_step(d: Decks, ops: DataFrame, kinds: set[str]) -> tuple[Decks,
     def of(kind: str) -> DataFrame:
         return ops.filter(F.col("op") == kind)
 
+    def cut(df: DataFrame) -> DataFrame:
+        """Renumbering reads its input twice, so a chain of edits would double its plan with each of them."""
+        return cut_lineage(df.select(*d.blocks.columns))
+
     if "rewrite" in kinds:
-        r = of("rewrite").select("target", F.col("max_units"), F.lit(True).alias("preserve_spans"))
-        blocks = ed.rewrite(blocks, r).drop("outcome")
+        keep = F.coalesce("preserve_spans", F.lit(True)).alias("preserve_spans")
+        blocks = cut(ed.rewrite(blocks, of("rewrite").select("target", "max_units", keep)))
     if "split_block" in kinds:
-        blocks, bad = ed.split_blocks(blocks, of("split_block").select("target", "parts"))
+        new, bad = ed.split_blocks(blocks, of("split_block").select("target", "parts"))
         refuse(bad)
+        blocks = cut(new)
     if "merge_blocks" in kinds:
-        blocks, bad = ed.merge_blocks(blocks, of("merge_blocks").select(F.col("patch_id").alias("op_id"), "target", "others"))
+        new, bad = ed.merge_blocks(blocks, of("merge_blocks").select(F.col("patch_id").alias("op_id"), "target", "others", "separator"))
         refuse(bad)
+        blocks = cut(new)
     if "delete_block" in kinds:
-        blocks = ed.delete_blocks(blocks, of("delete_block").select("target", "hard"))
+        blocks = cut(ed.delete_blocks(blocks, of("delete_block").select("target", "hard")))
     if "insert_block" in kinds:
-        new = of("insert_block").select(
-            "deck_uid", F.col("seq").alias("op_id"), "target", "position", F.col("value").alias("content"), F.lit("bullet").alias("type"),
-            F.lit("authored").alias("derivation"), F.lit("slide").alias("channel"), F.lit(False).alias("channel_pinned"),
+        rows = of("insert_block").select(
+            "deck_uid", F.col("seq").alias("op_id"), "target", F.coalesce("position", F.lit("after")).alias("position"), F.col("value").alias("content"),
+            F.coalesce("new_type", F.lit("bullet")).alias("type"), F.coalesce("new_derivation", F.lit("authored")).alias("derivation"),
+            F.lit("slide").alias("channel"), F.lit(False).alias("channel_pinned"),
             F.lit(False).alias("pinned"), F.lit(500).alias("importance_milli"), F.array().cast(blocks.schema["spans"].dataType).alias("spans"))
-        blocks, bad = ed.insert_blocks(blocks, new)
+        new, bad = ed.insert_blocks(blocks, rows)
         refuse(bad)
+        blocks = cut(new)
     if "move_block" in kinds:
         m = of("move_block")
         here = slides.select(F.col("slide_uid").alias("to_slide"))
         refuse(m.join(here, "to_slide", "left_anti"))
-        blocks = ed.move_blocks(blocks, m.join(here, "to_slide", "left_semi").select("target", "to_slide", "index"))
+        blocks = cut(ed.move_blocks(blocks, m.join(here, "to_slide", "left_semi").select("target", "to_slide", "index")))
     if "reorder_slides" in kinds:
-        slides, bad = ed.reorder_slides(slides, of("reorder_slides").select("target", "order"))
+        new, bad = ed.reorder_slides(slides, of("reorder_slides").select("target", "order"))
         refuse(bad)
+        slides = cut_lineage(new.select(*d.slides.columns))
     if "split_slide" in kinds:
-        slides, blocks, bad = ed.split_slides(slides, blocks, of("split_slide").select("target", "after_block"))
+        pages, new, bad = ed.split_slides(slides, blocks, of("split_slide").select("target", "after_block"))
+        # The new page is made for, not cut from: the time stays with the first.
+        old = d.slides.select("slide_uid", F.lit(True).alias("__old"))
+        pages = cut_lineage(pages.join(old, "slide_uid", "left").withColumns({
+            "dwell_seconds": F.when(F.col("__old"), F.col("dwell_seconds")),
+            "dwell_locked": F.when(F.col("__old"), F.col("dwell_locked")).otherwise(False)}).drop("__old").withColumnRenamed("slide_no", "__at"))
         refuse(bad)
-    slides = slides.withColumn("slide_no", F.col("slide_no").cast("double"))
-    return (Decks(slides.select(*d.slides.columns), blocks.select(*d.blocks.columns)),
+        blocks = cut(new)
+        # Whole numbers again, so that the next page to be split off finds room behind its own.
+        slides = scale.running(pages, ["deck_uid", "section_uid"], {"__chunk": F.floor(F.col("__at") / scale.CHUNK)}, ["__at", "slide_uid"], number="slide_no")
+    if slides is not d.slides:
+        slides = slides.withColumn("slide_no", F.col("slide_no").cast("double")).select(*d.slides.columns)
+    return (replace(d, slides=slides, blocks=blocks if blocks is d.blocks else blocks.select(*d.blocks.columns)),
             refused if refused is not None else ops.select(F.col("target").cast("string").alias("target")).limit(0))
 
 
-def apply_patches(d: Decks, ops: DataFrame) -> tuple[Decks, DataFrame]:
+def _refused_references(ops: DataFrame, d: Decks) -> DataFrame:
+    """Edits that name an asset the deck does not have."""
+    return ops.filter("op = 'replace_asset'").join(d.assets.select("deck_uid", F.col("asset_uid").alias("asset_ref")), ["deck_uid", "asset_ref"], "left_anti")
+
+
+def _cut(new: Decks, old: Decks) -> Decks:
+    """``new`` with the lineage of what changed cut."""
+    return Decks(**{k: t if t is old.tables()[k] else cut_lineage(t) for k, t in new.tables().items()})
+
+
+def _restore(old: Decks, new: Decks, places: DataFrame, everywhere: DataFrame) -> Decks:
+    """``new``, but what belongs to the given places, or decks, as it was in ``old``."""
+    def marked(d: Decks) -> dict[str, DataFrame]:
+        of = d.slides.select("slide_uid", F.col("family").alias("__place"))
+        return {"slides": d.slides.withColumn("__place", F.col("family")), "blocks": d.blocks.join(of, "slide_uid", "left"),
+                "sections": d.sections.withColumn("__place", F.col("section_uid")), "assets": d.assets.withColumn("__place", F.col("asset_uid")),
+                "decks": d.decks.withColumn("__place", F.col("deck_uid"))}
+
+    back = cut_lineage(places.select("deck_uid", F.col("place").alias("__place")).unionByName(
+        everywhere.select("deck_uid", F.lit(None).cast("string").alias("__place"))).distinct())
+    some, whole = back.filter("__place IS NOT NULL"), back.filter("__place IS NULL").select("deck_uid")
+    out = {}
+    for name, after in marked(new).items():
+        before = marked(old)[name]
+        gone = lambda t: t.join(some, ["deck_uid", "__place"], "left_anti").join(whole, "deck_uid", "left_anti")
+        kept = lambda t: t.join(some, ["deck_uid", "__place"], "left_semi").unionByName(t.join(whole, "deck_uid", "left_semi")).dropDuplicates([
+            c for c in ("slide_uid", "block_uid", "section_uid", "asset_uid") if c in t.columns] or ["deck_uid"])
+        out[name] = cut_lineage(gone(after).unionByName(kept(before)).drop("__place").select(*new.tables()[name].columns))
+    return Decks(**out)
+
+
+def apply_patches(d: Decks, ops: DataFrame, reallocate: Callable[[Decks, DataFrame], Decks] | None = None) -> tuple[Decks, DataFrame]:
     """(tables after the log, refused patches: deck_uid, patch_id). Each patch applies whole or not at all.
 
-    ``ops``: deck_uid, seq, op_no (from 1), patch_id, op, target, value, hard, max_units, parts, others, to_slide, index,
-    position, order, after_block.
+    ``ops``: deck_uid, seq, op_no (from 1), patch_id, op, target and the columns of ``ARGUMENTS`` that the log uses. Edits of decks
+    that are not in the tables are refused. ``reallocate`` gets the tables after the log and the decks whose budget an accepted edit
+    put out of date, once for the whole log.
     """
-    d = Decks(d.slides.withColumn("slide_no", F.col("slide_no").cast("double")), d.blocks)
-    hard = (F.col("op") == "delete_block") & F.coalesce("hard", F.lit(False))
-    marked = ops.withColumn("__st", F.col("op").isin(*STRUCTURAL) | hard)
-    patches = marked.groupBy("deck_uid", "patch_id").agg(F.min("seq").alias("seq"), F.max("__st").alias("__st"))
-    staged = scale.running(patches, ["deck_uid"], scale.position_chunk("seq"), ["seq"], {"stage": F.col("__st").cast("int")})
-    log = cut_lineage(marked.drop("__st").join(staged.select("deck_uid", "patch_id", "stage", F.col("__st").alias("__patch")),
-                                               ["deck_uid", "patch_id"]))
-    bounds = log.agg(F.max("stage").alias("stages"), F.max(F.when(F.col("__patch"), F.col("op_no"))).alias("steps")).head()
-    if bounds.stages is None:
-        return d, ops.select("deck_uid", "patch_id").limit(0)
+    d = d.whole()
+    d = replace(d, slides=d.slides.withColumn("family", F.col("slide_uid")))
+    ops = cut_lineage(with_arguments(ops))
+    patches, touches = touched(d, ops)
+    plan = stages(patches, touches)
+    log = cut_lineage(ops.join(plan.drop("seq"), ["deck_uid", "patch_id"]))
     # Which kinds of edit each round holds: one short row per round of the driver loop, whatever the log's size.
-    found = log.filter("__patch").groupBy("stage", "op_no").agg(F.collect_set("op").alias("ops")).collect()
-    rounds = {(r.stage, r.op_no): set(r.ops) for r in found}
-    free = {r.stage for r in log.filter("NOT __patch").select("stage").distinct().collect()}
-    refused = None
-    for stage in range(bounds.stages + 1):
+    found = log.groupBy("stage", "staged", F.when(F.col("staged"), F.col("op_no")).alias("op_no")).agg(F.collect_set("op").alias("ops")).collect()
+    rounds = {(r.stage, r.op_no): set(r.ops) for r in found if r.staged}
+    free = {r.stage: set(r.ops) for r in found if not r.staged}
+    steps = max((no for _, no in rounds), default=0)
+    final = cut_lineage(plan.groupBy("deck_uid").agg(F.max("stage").alias("final")))
+    last = max([*free, *(s for s, _ in rounds)], default=-1)
+    only = lambda rule: final.filter(rule).select("deck_uid")
+    # Decks without an edit from here on leave the work: those the log does not name now, the others after their last stage.
+    finished = [d.each(lambda t: t.join(only(F.lit(True)), "deck_uid", "left_anti"))]
+    full, refused = d, None
+    for stage in range(last + 1):
+        here, over = only(F.col("final") >= stage), only(F.col("final") == stage - 1)
+        if stage:
+            finished.append(full.each(lambda t, over=over: t.join(over, "deck_uid", "left_semi")))
+        d = entered = full.each(lambda t, here=here: t.join(here, "deck_uid", "left_semi"))
         now = log.filter(F.col("stage") == stage)
         lost = ops.select("deck_uid", "patch_id").limit(0)
-        if stage in free:
-            valid, bad = ed.reject_invalid(now.filter("NOT __patch"), d.nodes())
-            lost = bad.select("deck_uid", "patch_id")
-            d = _set_columns(d, valid)
-            d = Decks(cut_lineage(d.slides), cut_lineage(d.blocks))
-        before, whole = d, now.filter("__patch")
-        for step in range(1, (bounds.steps or 0) + 1):
+        before, whole = d, now.filter("staged")
+        for step in range(1, steps + 1):
             kinds = rounds.get((stage, step), set())
             if not kinds:
                 continue
-            edits = whole.filter(F.col("op_no") == step)
+            edits, start = whole.filter(F.col("op_no") == step), d
             fine, bad = ed.reject_invalid(edits, d.nodes())
-            deep = F.col("op").isin(*STRUCTURAL) | hard
+            bad = bad.select("deck_uid", "patch_id").unionByName(_refused_references(fine, d).select("deck_uid", "patch_id"))
             if kinds - set(STRUCTURAL):
-                d = _set_columns(d, fine.filter(~deep))
-            d, no = _structural_step(d, fine.filter(deep), kinds)
+                d = _set_columns(d, fine.filter(~_structural()), kinds)
+            d, no = _structural_step(d, fine.filter(_structural()), kinds)
             turned = edits.join(no, "target", "left_semi").select("deck_uid", "patch_id")
-            lost = cut_lineage(lost.unionByName(bad.select("deck_uid", "patch_id")).unionByName(turned).distinct())
-            d = Decks(cut_lineage(d.slides), cut_lineage(d.blocks))
-        # A deck whose structural patch failed anywhere returns to where it stood before it.
-        back = lost.join(whole.select("deck_uid", "patch_id").distinct(), ["deck_uid", "patch_id"], "left_semi").select("deck_uid")
-        if d is not before and not back.isEmpty():
-            d = Decks(*[cut_lineage(new.join(back, "deck_uid", "left_anti").unionByName(old.join(back, "deck_uid", "left_semi")))
-                        for old, new in ((before.slides, d.slides), (before.blocks, d.blocks))])
+            lost = cut_lineage(lost.unionByName(bad).unionByName(turned).distinct())
+            d = _cut(d, start)
+        if d is not before and not lost.isEmpty():
+            # What a failed patch touched returns to where it stood before it.
+            places = touches.join(lost, ["deck_uid", "patch_id"], "left_semi")
+            d = _restore(before, d, places, plan.filter("wild").join(lost, ["deck_uid", "patch_id"], "left_semi").select("deck_uid"))
+        if stage in free:
+            loose = now.filter("NOT staged")
+            valid, bad = ed.reject_invalid(loose, d.nodes())
+            missing = _refused_references(valid, d).select("deck_uid", "patch_id").distinct()
+            lost = lost.unionByName(bad.select("deck_uid", "patch_id")).unionByName(missing).distinct()
+            d = _cut(_set_columns(d, valid.join(missing, ["deck_uid", "patch_id"], "left_anti"), free[stage]), d)
         refused = lost if refused is None else refused.unionByName(lost)
-    return d, refused
+        full = Decks(**{k: full.tables()[k] if t is entered.tables()[k] else t for k, t in d.tables().items()})
+    out = full.each(lambda t: t.join(only(F.col("final") >= last), "deck_uid", "left_semi"))
+    for part in finished:
+        out = Decks(**{k: t.unionByName(part.tables()[k]) for k, t in out.tables().items()})
+    out = replace(out, slides=out.slides.drop("family"))
+    refused = ops.select("deck_uid", "patch_id").limit(0) if refused is None else cut_lineage(refused)
+    if reallocate is not None:
+        good = ops.join(refused, ["deck_uid", "patch_id"], "left_anti")
+        out = reallocate(out, ed.needs_reallocation(good).filter("reallocate").select("deck_uid"))
+    return out, refused
 
 
 def replay(original: Decks, log: DataFrame, decks: DataFrame) -> tuple[Decks, DataFrame, DataFrame]:
@@ -164,7 +363,28 @@ def replay(original: Decks, log: DataFrame, decks: DataFrame) -> tuple[Decks, Da
     return after, refused, foreign
 
 
+def changes(before: Decks, after: Decks) -> DataFrame:
+    """All that a reader would notice between two states: node (deck, slide or block), uid, kind, before, after, note."""
+    said = lambda t, node, uid: t.select(F.lit(node).alias("node"), F.col(uid).alias("uid"), "kind", "before", "after", "note")
+    return (said(ed.diff_deck_meta(before.decks, after.decks), "deck", "deck_uid").unionByName(said(ed.diff_slides(before.slides, after.slides), "slide", "slide_uid"))
+            .unionByName(said(ed.diff_blocks(before.blocks, after.blocks), "block", "block_uid")))
+
+
 def preview(d: Decks, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(changes the edits would make, patches that cannot be applied); nothing is written."""
+    """(changes the edits would make to decks, slides and blocks, patches that cannot be applied); nothing is kept."""
     after, refused = apply_patches(d, ops)
-    return ed.diff_blocks(d.blocks, after.blocks), refused
+    return changes(d.whole(), after), refused
+
+
+def state_at(original: Decks, log: DataFrame, cuts: DataFrame) -> Decks:
+    """The tables as of a position of each deck's log: its edits up to ``cuts`` (deck_uid, seq); decks without a cut at the end."""
+    upto = log.join(cuts.select("deck_uid", F.col("seq").alias("__cut")), "deck_uid", "left").filter(F.col("__cut").isNull() | (F.col("seq") <= F.col("__cut")))
+    return apply_patches(original, upto.drop("__cut"))[0]
+
+
+def total_diff(original: Decks, log: DataFrame, start: DataFrame, end: DataFrame) -> DataFrame:
+    """All changes between two positions of each deck's log (``start``, ``end``: deck_uid, seq). The log up to the start is applied
+    once, what lies between is applied to that state."""
+    first = state_at(original, log, start)
+    span = log.join(start.select("deck_uid", F.col("seq").alias("__cut")), "deck_uid").filter(F.col("seq") > F.col("__cut")).drop("__cut")
+    return changes(first.whole(), state_at(first, span, end))

@@ -3,7 +3,23 @@
 import copy
 import random
 
+import pytest
+
 from briefloom.plans import replay as rp
+from briefloom.session import cut_lineage
+
+
+@pytest.fixture(autouse=True, scope="module")
+def interpreted(spark):
+    """Many plans over a few rows each: compiling them would take most of the time."""
+    settings = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
 
 SLIDES = ("deck_uid string, section_uid string, slide_uid string, slide_no double, title string, role string, is_backup boolean, "
           "dwell_seconds double, dwell_locked boolean")
@@ -110,3 +126,268 @@ def test_log_equals_plain_fold(spark):
     got = sorted((r.slide_uid, r.block_no, r.content, r.channel) for r in after.blocks.collect())
     assert {r.patch_id for r in refused.collect()} == want_refused
     assert got == want
+
+
+# ------------------------------------------------------------- all kinds of edit
+
+KINDS = ("set_text", "rewrite", "split_block", "merge_blocks", "delete_block", "insert_block", "set_channel", "set_importance", "pin", "set_dwell", "retime",
+         "move_block", "reorder_slides", "split_slide", "set_slide_role", "set_backup", "set_title", "replace_asset", "set_caption", "set_style")
+FULL = OPS + (", separator string, asset_ref string, subtitle string, layout_hint string, total_seconds int, density string, font_size_pt double, "
+              "emphasis string, new_derivation string")
+
+
+def full_deck(d):
+    """A deck as nested lists: two sections of two pages, figures on the last page."""
+    block = lambda s, i: dict(uid=f"{s}b{i}", type="figure" if i > 2 and s.endswith("1") else "bullet", content=f"t {s}{i}", channel="slide", fixed=False, pinned=False,
+                              imp=500, derivation="verbatim", asset=None, tags=["size:9", "keep"])
+    page = lambda s: dict(uid=s, title=s, subtitle=None, role="text_dense", hint=None, backup=False, dwell=None, locked=False, blocks=[block(s, i) for i in range(4)])
+    return dict(uid=d, total=300, density="normal", assets={f"{d}a": "old"},
+                sections=[dict(uid=f"{d}x{n}", title=f"sec {n}", slides=[page(f"{d}x{n}s{i}") for i in range(2)]) for n in range(2)])
+
+
+def fold_any(deck, o):
+    pages = {s["uid"]: (sec, s) for sec in deck["sections"] for s in sec["slides"]}
+    blocks = {b["uid"]: (s, b) for _, s in pages.values() for b in s["blocks"] if b["uid"]}
+    kind, t = o["op"], o["target"]
+
+    def need(ok):
+        if not ok:
+            raise Bad
+
+    def block():
+        need(t in blocks)
+        return blocks[t]
+
+    def page():
+        need(t in pages)
+        return pages[t][1]
+
+    if kind == "set_text":
+        _, b = block()
+        need(o["value"].strip())
+        b["content"], b["derivation"] = o["value"], "authored" if b["derivation"] in ("verbatim", "compressed") else b["derivation"]
+    elif kind == "rewrite":
+        block()  # every text here fits its limit already
+    elif kind == "split_block":
+        s, b = block()
+        parts = [p.strip() for p in o["parts"] if p.strip()]
+        need(len(parts) > 1)
+        b["content"] = parts[0]
+        at = s["blocks"].index(b) + 1
+        s["blocks"][at:at] = [{**b, "uid": None, "content": p} for p in parts[1:]]
+    elif kind == "merge_blocks":
+        s, b = block()
+        need(all(u in blocks and blocks[u][0] is s for u in o["others"]))
+        b["content"] = (o["separator"] or "; ").join([b["content"], *(blocks[u][1]["content"] for u in o["others"])])
+        s["blocks"] = [x for x in s["blocks"] if x["uid"] not in o["others"] or x["uid"] is None]
+    elif kind == "delete_block":
+        s, b = block()
+        if o["hard"]:
+            s["blocks"].remove(b)
+        else:
+            b["channel"] = "drop"
+    elif kind == "insert_block":
+        need((o["new_derivation"] or "authored") in ("authored", "inferred"))
+        new = dict(uid=None, type="bullet", content=o["value"], channel="slide", fixed=False, pinned=False, imp=500, derivation=o["new_derivation"] or "authored", asset=None, tags=None)
+        if t in pages:
+            pages[t][1]["blocks"].append(new)
+        else:
+            s, b = block()
+            at = s["blocks"].index(b)
+            s["blocks"].insert({"before": at, "after": at + 1, "append": len(s["blocks"])}[o["position"] or "after"], new)
+    elif kind == "set_channel":
+        _, b = block()
+        need(not (b["type"] == "figure" and o["value"] == "script"))
+        b["channel"], b["fixed"] = o["value"], True
+    elif kind == "set_importance":
+        _, b = block()
+        need(0 <= float(o["value"]) <= 1000)
+        b["imp"] = int(o["value"])
+    elif kind == "pin":
+        block()[1]["pinned"] = o["value"] == "true"
+    elif kind == "set_dwell":
+        s = page()
+        need(float(o["value"]) > 0)
+        s["dwell"], s["locked"] = float(o["value"]), True
+    elif kind == "retime":
+        need(t == deck["uid"])
+        deck["total"], deck["density"] = o["total_seconds"] or deck["total"], o["density"] or deck["density"]
+    elif kind == "move_block":
+        s, b = block()
+        need(o["to_slide"] in pages)
+        s["blocks"].remove(b)
+        to = pages[o["to_slide"]][1]["blocks"]
+        to.insert(len(to) if o["index"] is None else min(o["index"], len(to)), b)
+    elif kind == "reorder_slides":
+        sec = next((x for x in deck["sections"] if x["uid"] == t), None)
+        need(sec and sorted(o["order"]) == sorted(str(s["uid"]) for s in sec["slides"]))
+        sec["slides"] = [pages[u][1] for u in o["order"]]
+    elif kind == "split_slide":
+        s = page()
+        uids = [b["uid"] for b in s["blocks"]]
+        need(o["after_block"] in uids and uids.index(o["after_block"]) < len(uids) - 1)
+        cut = uids.index(o["after_block"]) + 1
+        new = {**s, "uid": None, "title": None, "dwell": None, "locked": False, "blocks": s["blocks"][cut:]}
+        s["blocks"] = s["blocks"][:cut]
+        at = pages[t][0]["slides"]
+        at.insert(at.index(s) + 1, new)
+    elif kind == "set_slide_role":
+        s = page()
+        s["role"], s["hint"] = o["value"], o["layout_hint"] or s["hint"]
+    elif kind == "set_backup":
+        page()["backup"] = o["value"] == "true"
+    elif kind == "set_title":
+        if t in pages:
+            s = pages[t][1]
+            s["title"], s["subtitle"] = o["value"], o["subtitle"] or s["subtitle"]
+        else:
+            sec = next((x for x in deck["sections"] if x["uid"] == t), None)
+            need(sec)
+            sec["title"] = o["value"]
+    elif kind == "replace_asset":
+        _, b = block()
+        need(o["asset_ref"] in deck["assets"] and b["type"] == "figure")
+        b["asset"] = o["asset_ref"]
+    elif kind == "set_caption":
+        if t in deck["assets"]:
+            deck["assets"][t] = o["value"]
+        else:
+            _, b = block()
+            need(b["type"] == "figure")
+            b["content"] = o["value"]
+    elif kind == "set_style":
+        _, b = block()
+        size = [f"size:{o['font_size_pt']:g}"] if o["font_size_pt"] else []
+        b["tags"] = [x for x in b["tags"] or [] if x == "keep"] + size + ([f"emphasis:{o['emphasis']}"] if o["emphasis"] not in (None, "none") else [])
+
+
+def any_log(rnd, decks, patches):
+    log, seq = [], 0
+    for _ in range(patches):
+        for d, deck in decks.items():
+            seq += 1
+            slides = [f"{d}x{n}s{i}" for n in range(2) for i in range(2)]
+            blocks = [f"{s}b{i}" for s in slides for i in range(4)]
+            figures = [b for b in blocks if b.endswith("1b3")]
+            for n in range(rnd.choice([1, 1, 1, 2])):
+                kind = KINDS[(seq * 7 + n * 3) % 20]
+                t = (d if kind == "retime" else f"{d}x{rnd.randrange(2)}" if kind == "reorder_slides" else rnd.choice(slides) if kind in (
+                    "set_dwell", "split_slide", "set_slide_role", "set_backup") else rnd.choice([*slides, f"{d}x0"]) if kind == "set_title"
+                    else rnd.choice([*figures, f"{d}a"]) if kind in ("set_caption", "replace_asset") else rnd.choice(blocks))
+                o = dict.fromkeys(c.split()[0] for c in FULL.split(", ")) | dict(deck_uid=d, seq=seq, op_no=n + 1, patch_id=seq, op=kind, target=t, value=f"v{seq}.{n}")
+                if rnd.random() < 0.04:
+                    o["target"] = "nowhere"
+                o |= {"set_channel": lambda: dict(value=rnd.choice(["slide", "script", "drop"])), "set_importance": lambda: dict(value=str(rnd.choice([10, 900, 2000]))),
+                      "pin": lambda: dict(value=rnd.choice(["true", "false"])), "set_dwell": lambda: dict(value=rnd.choice(["30", "45.5", "0"])),
+                      "retime": lambda: rnd.choice([dict(total_seconds=480), dict(density="sparse"), dict(total_seconds=99, density="dense")]),
+                      "set_backup": lambda: dict(value=rnd.choice(["true", "false"])), "delete_block": lambda: dict(hard=rnd.random() < 0.4),
+                      "split_block": lambda: dict(parts=rnd.choice([["x", "y", "z"], ["only"]])), "rewrite": lambda: dict(max_units=500),
+                      "merge_blocks": lambda: dict(others=[rnd.choice([b for b in blocks if b != t])], separator=rnd.choice([None, " + "])),
+                      "move_block": lambda: dict(to_slide=rnd.choice([*slides, "nowhere"]), index=rnd.choice([None, 0, 2])),
+                      "insert_block": lambda: dict(position=rnd.choice([None, "before", "append"]), new_derivation=rnd.choice([None, "inferred", "verbatim"])),
+                      "reorder_slides": lambda: dict(order=rnd.choice([[f"{t}s1", f"{t}s0"], [f"{t}s1"]])), "split_slide": lambda: dict(after_block=f"{t}b{rnd.randrange(4)}"),
+                      "set_title": lambda: dict(subtitle=rnd.choice([None, "sub"])), "set_slide_role": lambda: dict(value="two_column", layout_hint=rnd.choice([None, "wide"])),
+                      "replace_asset": lambda: dict(asset_ref=rnd.choice([f"{d}a", "none"])),
+                      "set_style": lambda: dict(font_size_pt=rnd.choice([None, 12.0, 10.5]), emphasis=rnd.choice([None, "bold", "none"]))}.get(kind, dict)()
+                log.append(o)
+    return log
+
+
+def tables(spark, decks):
+    pages = [(d, sec["uid"], s["uid"], float(i + 10 * n), s["title"], s["role"], s["backup"], s["dwell"], s["locked"]) for d, k in decks.items()
+             for n, sec in enumerate(k["sections"]) for i, s in enumerate(sec["slides"])]
+    blocks = [(d, s["uid"], b["uid"], i + 1, b["type"], b["content"], b["channel"], b["fixed"], b["pinned"], b["imp"], b["derivation"], [], None, None, b["tags"])
+              for d, k in decks.items() for sec in k["sections"] for s in sec["slides"] for i, b in enumerate(s["blocks"])]
+    return rp.Decks(cut_lineage(spark.createDataFrame(pages, SLIDES).coalesce(1)), spark.createDataFrame(blocks, BLOCKS + ", tags array<string>"),
+                    spark.createDataFrame([(d, sec["uid"], sec["title"]) for d, k in decks.items() for sec in k["sections"]], "deck_uid string, section_uid string, title string"),
+                    spark.createDataFrame([(d, a, c) for d, k in decks.items() for a, c in k["assets"].items()], "deck_uid string, asset_uid string, caption string"),
+                    spark.createDataFrame([(d, k["total"], k["density"], None) for d, k in decks.items()], "deck_uid string, total_seconds int, density string, target_dwell_seconds double"))
+
+
+def folded(decks, log):
+    decks, refused = copy.deepcopy(decks), set()
+    for seq in sorted({o["seq"] for o in log}):
+        patch = sorted((o for o in log if o["seq"] == seq), key=lambda o: o["op_no"])
+        trial = copy.deepcopy(decks[patch[0]["deck_uid"]])
+        try:
+            for o in patch:
+                fold_any(trial, o)
+            decks[patch[0]["deck_uid"]] = trial
+        except Bad:
+            refused.add(seq)
+    return decks, refused
+
+
+def test_all_kinds_equal_a_plain_fold(spark):
+    decks = {f"D{i}": full_deck(f"D{i}") for i in range(8)}
+    log = any_log(random.Random(5), {d: k for d, k in decks.items() if d != "D7"}, 3)
+    assert {o["op"] for o in log} == set(KINDS)
+    cols = [c.split()[0] for c in FULL.split(", ")]
+    ops = spark.createDataFrame([tuple(o[c] for c in cols) for o in log], FULL)
+    after, refused = rp.apply_patches(tables(spark, decks), ops)
+    want, bad = folded(decks, log)
+    assert {r.patch_id for r in refused.collect()} == bad and 0 < len(bad) < len({o["seq"] for o in log})
+
+    slides = sorted(after.slides.collect(), key=lambda r: (r.deck_uid, r.section_uid, r.slide_no))
+    pages = [(d, sec["uid"], s) for d, k in sorted(want.items()) for sec in k["sections"] for s in sec["slides"]]
+    assert len(slides) == len(pages)
+    place = {}
+    for r, (d, sec, s) in zip(slides, pages, strict=True):
+        assert (r.deck_uid, r.section_uid, r.subtitle, r.role, r.layout_hint, r.is_backup, r.dwell_seconds, r.dwell_locked) == (
+            d, sec, s["subtitle"], s["role"], s["hint"], s["backup"], s["dwell"], s["locked"])
+        assert s["uid"] is None or (r.slide_uid, r.title) == (s["uid"], s["title"])
+        place[r.slide_uid] = s
+    blocks = sorted(after.blocks.collect(), key=lambda r: (r.slide_uid, r.block_no))
+    got = {}
+    for r in blocks:
+        got.setdefault(r.slide_uid, []).append((r.type, r.content, r.channel, r.channel_pinned, r.pinned, r.importance_milli, r.derivation, r.asset_ref, r.tags or []))
+    for uid, s in place.items():
+        assert got.get(uid, []) == [(b["type"], b["content"], b["channel"], b["fixed"], b["pinned"], b["imp"], b["derivation"], b["asset"], b["tags"] or []) for b in s["blocks"]], uid
+    assert {r.section_uid: r.title for r in after.sections.collect()} == {sec["uid"]: sec["title"] for k in want.values() for sec in k["sections"]}
+    assert {r.asset_uid: r.caption for r in after.assets.collect()} == {a: c for k in want.values() for a, c in k["assets"].items()}
+    assert {r.deck_uid: (r.total_seconds, r.density) for r in after.decks.collect()} == {d: (k["total"], k["density"]) for d, k in want.items()}
+
+
+def plan_of(spark, patches):
+    """Stage of each patch (id, staged, wild, places) of one deck, ids in log order."""
+    p = spark.createDataFrame([("D", i, i, staged, wild) for i, staged, wild, _ in patches], "deck_uid string, patch_id long, seq long, staged boolean, wild boolean")
+    t = spark.createDataFrame([("D", i, x) for i, *_, places in patches for x in places], "deck_uid string, patch_id long, place string")
+    return {r.patch_id: r.stage for r in rp.stages(p, t).collect()}
+
+
+def test_stages_are_the_longest_chains(spark):
+    rnd = random.Random(2)
+    patches = [(i, rnd.random() < 0.6, rnd.random() < 0.05, rnd.sample("abcdefgh", rnd.choice([1, 1, 2]))) for i in range(1, 60)]
+    patches = [(i, staged or wild or len(places) > 1, wild, [] if wild else places) for i, staged, wild, places in patches]
+    at, floor, want = {}, 0, {}
+    for i, staged, wild, places in patches:
+        level = max([floor, *(at.get(x, 0) for x in places)])
+        if wild:
+            level = max([floor, *at.values()]) + 1
+            floor = level
+        elif staged:
+            level += 1
+            at |= dict.fromkeys(places, level)
+        want[i] = level
+    assert plan_of(spark, patches) == want
+    alone = [(i, True, False, [f"s{i % 20}"]) for i in range(1, 41)]  # forty patches on twenty slides: two stages
+    assert max(plan_of(spark, alone).values()) == 2
+
+
+def test_preview_and_difference_between_positions(spark):
+    decks = {f"D{i}": full_deck(f"D{i}") for i in range(3)}
+    log = [o for o in any_log(random.Random(8), decks, 5) if o["op"] in ("set_text", "set_channel", "set_title", "retime", "pin", "delete_block", "set_slide_role", "set_dwell", "set_importance")]
+    log.append(dict.fromkeys(log[0]) | dict(deck_uid="D0", seq=10**5, op_no=1, patch_id=10**5, op="pin", target="nowhere", value="true"))
+    cols = [c.split()[0] for c in FULL.split(", ")]
+    ops = spark.createDataFrame([tuple(o[c] for c in cols) for o in log], FULL)
+    shown, refused = rp.preview(tables(spark, decks), ops)
+    nodes = {r.node for r in shown.collect()}
+    assert nodes == {"deck", "slide", "block"} and refused.count() > 0
+    early = {d: min(o["seq"] for o in log if o["deck_uid"] == d) for d in decks}
+    cut = lambda at: spark.createDataFrame(list(at.items()), "deck_uid string, seq long")
+    late = dict.fromkeys(decks, 10**6)
+    got = sorted(tuple(r) for r in rp.total_diff(tables(spark, decks), ops, cut(early), cut(late)).collect())
+    first, _ = folded(decks, [o for o in log if o["seq"] <= early[o["deck_uid"]]])
+    last, _ = folded(decks, log)
+    want = sorted(tuple(r) for r in rp.changes(tables(spark, first).whole(), tables(spark, last).whole()).collect())
+    assert got == want and got
