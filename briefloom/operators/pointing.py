@@ -1,12 +1,15 @@
 """From clicks and dragged rectangles to the items they mean.
 
-Anchors and gestures meet on (deck, page, grid level, cell): an anchor is filed under the coarsest cells that are just
-larger than itself, at most four of them, and a point looks up one cell per level. Pages with very many anchors are
-thereby cut into small cells, and no gesture is compared with a whole page.
+Anchors and gestures meet on (deck, page, grid, cell). A grid has its own number of columns and of rows, so a flat wide
+line lies in a grid of many rows and few columns. An anchor is filed in the finest grid whose cells are just larger than
+itself, at most four cells of it, and a point looks up one cell per grid. Pages with very many anchors are thereby cut into
+small cells, and no gesture is compared with a whole page.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,18 +18,20 @@ from briefloom.functions.shapes import Box
 
 # How far each kind outranks another.
 KIND_PRIORITY = {"block": 1.0, "title": 0.95, "subtitle": 0.9, "figure": 0.9, "table": 0.9, "slide": 0.35}
-LEVELS = 5  # cells of 1, 1/2, ... 1/16 of the page
+POINT_GRIDS = ((0, 2, 4), (0, 2, 4, 6, 8))  # cells of 1, 1/4, ... of the page's width, of its height
+RECT_GRIDS = ((0, 2), (0, 2, 4))  # coarser, because a rectangle looks up all the cells it covers
 TOLERANCE = 0.02
 MIN_COVERAGE = 0.45
 NEAR_TIE = 0.15
 TOP_HITS = 4
 
 
-def _level(extent: Column) -> Column:
+def _level(extent: Column, levels: Sequence[int]) -> Column:
+    """The finest level whose cells are at least as large."""
     out = F
-    for k in range(LEVELS - 1, 0, -1):
+    for k in sorted(levels, reverse=True)[:-1]:
         out = out.when(extent <= 2.0 ** -k, k)
-    return out.otherwise(0)
+    return out.otherwise(min(levels))
 
 
 def _span(low: Column, high: Column, level: Column) -> Column:
@@ -34,12 +39,20 @@ def _span(low: Column, high: Column, level: Column) -> Column:
     return F.sequence(F.floor(low * cells).cast("int"), F.floor(high * cells).cast("int"))
 
 
-def file_anchors(anchors: DataFrame, margin: float) -> DataFrame:
+def _grids(grids: tuple[Sequence[int], Sequence[int]]) -> Column:
+    return F.array(*[F.struct(F.lit(x).alias("lx"), F.lit(y).alias("ly")) for x in grids[0] for y in grids[1]])
+
+
+POINT = ["deck_uid", "slide_index", "px", "py"]
+CELL = ["deck_uid", "slide_index", "lx", "ly", "gx", "gy"]
+
+
+def file_anchors(anchors: DataFrame, margin: float, grids: tuple[Sequence[int], Sequence[int]]) -> DataFrame:
     """Anchors with the cells they touch."""
     b = Box.of()
-    a = anchors.withColumn("level", _level(F.greatest(b.w, b.h) + 2 * margin))
-    return (a.withColumn("gx", F.explode(_span(b.x - margin, b.x2 + margin, F.col("level"))))
-            .withColumn("gy", F.explode(_span(b.y - margin, b.y2 + margin, F.col("level")))))
+    a = anchors.withColumns({"lx": _level(b.w + 2 * margin, grids[0]), "ly": _level(b.h + 2 * margin, grids[1])})
+    return (a.withColumn("gx", F.explode(_span(b.x - margin, b.x2 + margin, F.col("lx"))))
+            .withColumn("gy", F.explode(_span(b.y - margin, b.y2 + margin, F.col("ly")))))
 
 
 def hit_test(clicks: DataFrame, anchors: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -48,11 +61,9 @@ def hit_test(clicks: DataFrame, anchors: DataFrame, tolerance: float = TOLERANCE
     Repeated clicks on one point are looked up once and joined back by the caller on (deck, page, point).
     """
     points = clicks.select("deck_uid", "slide_index", "px", "py").distinct()
-    cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(
-        k.alias("level"), F.floor(F.col("px") * F.pow(F.lit(2.0), k)).cast("int").alias("gx"),
-        F.floor(F.col("py") * F.pow(F.lit(2.0), k)).cast("int").alias("gy"))))
-    p = points.withColumn("g", cells).select("deck_uid", "slide_index", "px", "py", "g.level", "g.gx", "g.gy")
-    hit = p.join(file_anchors(anchors, tolerance), ["deck_uid", "slide_index", "level", "gx", "gy"])
+    at = lambda p, level: F.floor(F.col(p) * F.pow(F.lit(2.0), F.col(level))).cast("int")
+    p = points.withColumn("g", F.explode(_grids(POINT_GRIDS))).select(*POINT, "g.lx", "g.ly").withColumns({"gx": at("px", "lx"), "gy": at("py", "ly")})
+    hit = p.join(file_anchors(anchors, tolerance, POINT_GRIDS), CELL)
     b, px, py = Box.of(), F.col("px"), F.col("py")
     inside = b.contains(px, py)
     distance = F.when(inside, 0.0).otherwise(b.distance_to(px, py))
@@ -61,10 +72,7 @@ def hit_test(clicks: DataFrame, anchors: DataFrame, tolerance: float = TOLERANCE
     score = (0.45 * proximity + 0.35 * (1.0 - F.least(F.lit(1.0), b.area))
              + 0.20 * F.coalesce(kinds[F.col("kind")], F.lit(0.5))) * F.col("confidence")
     return (hit.withColumn("distance", distance).filter(F.col("distance") <= tolerance)
-            .withColumn("inside", inside).withColumn("score", F.round(score, 4)).drop("level", "gx", "gy"))
-
-
-POINT = ["deck_uid", "slide_index", "px", "py"]
+            .withColumn("inside", inside).withColumn("score", F.round(score, 4)).drop("lx", "ly", "gx", "gy"))
 
 
 def top_hits(hits: DataFrame, k: int = TOP_HITS) -> DataFrame:
@@ -89,15 +97,13 @@ def lasso(rects: DataFrame, anchors: DataFrame, min_coverage: float = MIN_COVERA
     """
     r = rects.select("gesture_id", "deck_uid", "slide_index", *[F.col(n).alias(f"r{n}") for n in ("x", "y", "w", "h")])
     rb = Box.of("r")
-    r = (r.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
-         .withColumn("gx", F.explode(_span(rb.x, rb.x2, F.col("level"))))
-         .withColumn("gy", F.explode(_span(rb.y, rb.y2, F.col("level")))))
-    a = file_anchors(anchors.filter(F.col("kind") != "slide"), 0.0)
-    pair = r.join(a, ["deck_uid", "slide_index", "level", "gx", "gy"])
+    r = (r.withColumn("g", F.explode(_grids(RECT_GRIDS))).withColumns({"lx": F.col("g.lx"), "ly": F.col("g.ly")}).drop("g")
+         .withColumn("gx", F.explode(_span(rb.x, rb.x2, F.col("lx")))).withColumn("gy", F.explode(_span(rb.y, rb.y2, F.col("ly")))))
+    pair = r.join(file_anchors(anchors.filter(F.col("kind") != "slide"), 0.0, RECT_GRIDS), CELL)
     b = Box.of()
-    cells = F.pow(F.lit(2.0), F.col("level"))
-    corner = ((F.floor(F.greatest(b.x, rb.x) * cells) == F.col("gx"))
-              & (F.floor(F.greatest(b.y, rb.y) * cells) == F.col("gy")))
+    cells = lambda level: F.pow(F.lit(2.0), F.col(level))
+    corner = ((F.floor(F.greatest(b.x, rb.x) * cells("lx")) == F.col("gx"))
+              & (F.floor(F.greatest(b.y, rb.y) * cells("ly")) == F.col("gy")))
     coverage = b.covered_by(rb)
     return (pair.filter(corner & (coverage >= min_coverage)).withColumn(
         "score", F.round(coverage * F.col("confidence"), 4))

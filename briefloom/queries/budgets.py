@@ -243,27 +243,27 @@ def allocated_rollup(spark, sf):
 
 
 @query("what_if_grid", b.with_(b.SLIDES, b.BLOCKS, MASS, """
-grid AS (SELECT deck_uid, secs, dens, secs * 900 AS eff, secs * 900 * 210 // 60000 AS total_units,
-                CASE dens WHEN 'sparse' THEN 72 ELSE 378 END AS cap, CASE dens WHEN 'sparse' THEN 70 ELSE 20 END AS pct
+grid AS (SELECT deck_uid, secs, dens, secs * 900 AS eff, CASE dens WHEN 'sparse' THEN 72 ELSE 378 END AS cap, CASE dens WHEN 'sparse' THEN 70 ELSE 20 END AS pct
          FROM (SELECT c_custkey AS deck_uid FROM customer), (SELECT unnest([480, 900]) AS secs),
               (SELECT unnest(['sparse', 'compact']) AS dens)),
-sh AS (SELECT deck_uid, slide_uid, CAST(weight_milli AS HUGEINT) * coalesce(mass, 600) AS share,
-              sum(CAST(weight_milli AS HUGEINT) * coalesce(mass, 600)) OVER (PARTITION BY deck_uid) AS total
-       FROM slides LEFT JOIN mass USING (slide_uid) WHERE NOT is_backup AND NOT dwell_locked),
-u AS (SELECT *, total_units * share // total AS units FROM sh JOIN grid USING (deck_uid))""", body="""
-SELECT secs || '/' || dens AS variant, count(*) AS slides,
-       CAST(sum(least(units - units * pct // 100, cap)) AS BIGINT) AS page,
-       CAST(sum(units * pct // 100) AS BIGINT) AS script
+held AS (SELECT deck_uid, count(*) FILTER (NOT dwell_locked) AS open_slides FROM slides WHERE NOT is_backup GROUP BY deck_uid),
+sh AS (SELECT deck_uid, slide_uid, dwell_locked AS locked, open_slides, CASE WHEN dwell_locked THEN 0 ELSE CAST(weight_milli AS HUGEINT) * coalesce(mass, 600) END AS share
+       FROM slides LEFT JOIN mass USING (slide_uid) JOIN held USING (deck_uid) WHERE NOT is_backup),
+t AS (SELECT *, sum(share) OVER (PARTITION BY deck_uid) AS total FROM sh),
+u AS (SELECT t.*, secs, dens, cap, pct, CASE WHEN locked OR total = 0 THEN 0 ELSE eff * 210 // 60000 * share // total END AS units FROM t JOIN grid USING (deck_uid))""", body="""
+SELECT secs || '/' || dens AS variant, count(*) AS slides, count(*) FILTER (locked) AS locked_slides,
+       CAST(sum(CASE WHEN open_slides = 0 THEN 0 WHEN locked THEN cap ELSE least(units - units * pct // 100, cap) END) AS BIGINT) AS page,
+       CAST(sum(CASE WHEN locked THEN 0 ELSE units * pct // 100 END) AS BIGINT) AS script
 FROM u GROUP BY 1"""))
 def what_if_grid(spark, sf):
+    """The same decks under four timings; pages with a fixed time keep it in all of them."""
     t = c.deck_tables(spark, sf)
     decks = bg.what_if(t.decks, [480, 900], ["sparse", "compact"])
     key = F.concat_ws("|", "deck_uid", "variant")
-    slides = (t.slides.filter("NOT dwell_locked").join(decks.select("deck_uid", "variant"), "deck_uid")
-              .withColumn("deck_uid", key).drop("variant"))
+    slides = t.slides.join(decks.select("deck_uid", "variant"), "deck_uid").withColumn("deck_uid", key).drop("variant")
     timed = bg.time_share(decks.withColumn("deck_uid", key), slides, bg.slide_mass(t.blocks))
-    return timed.groupBy("variant").agg(F.count(F.lit(1)).alias("slides"), F.sum("slide_units").alias("page"),
-                                        F.sum("script_units").alias("script"))
+    return timed.groupBy("variant").agg(F.count(F.lit(1)).alias("slides"), F.count_if("locked").alias("locked_slides"),
+                                        F.sum("slide_units").alias("page"), F.sum("script_units").alias("script"))
 
 
 @query("demotion_notes", b.with_(b.SLIDES, b.DECKS, b.BLOCKS, CLOCK, MASS, SHARES, ALLOC.rstrip().rstrip(","), body="""

@@ -84,16 +84,17 @@ def confirmation_rate(spark, sf):
 REJECT = """nodes AS (
   SELECT deck_uid, t AS target, CASE WHEN t < 80 THEN 'block' ELSE 'slide' END AS kind, t % 10 = 0 AS vis
   FROM (SELECT DISTINCT deck_uid FROM edits), (SELECT unnest(range(0, 90)) AS t)),
-ops AS (SELECT deck_uid, seq, seq // 3 AS patch_id, target, op, value FROM edits WHERE op <> 'retime'),
+ops AS (SELECT deck_uid, seq, seq // 3 AS patch_id, target, op, value FROM edits),
 judged AS (
-  SELECT o.*, CASE WHEN kind IS NULL THEN 'no such node' WHEN kind <> 'block' THEN 'slide where a block is needed'
+  SELECT o.*, CASE WHEN op = 'retime' AND kind IS NOT NULL THEN 'retime targets the deck' WHEN kind IS NULL THEN 'no such node'
+    WHEN kind <> 'block' THEN 'slide where a block is needed'
     WHEN op = 'set_channel' AND vis AND value = 'script' THEN 'a visual cannot be spoken'
     WHEN op = 'set_importance' AND CAST(value AS DOUBLE) NOT BETWEEN 0 AND 1000 THEN 'importance out of range' END AS reason
   FROM ops o LEFT JOIN nodes n ON n.deck_uid = o.deck_uid AND n.target = o.target)"""
 
 
 def _reject(spark, sf):
-    e = c.edits(spark, sf).filter("op <> 'retime'").withColumn("patch_id", F.floor(F.col("seq") / 3))
+    e = c.edits(spark, sf).withColumn("patch_id", F.floor(F.col("seq") / 3))
     t = F.col("uid")
     nodes = e.select("deck_uid").distinct().withColumn("uid", F.explode(F.sequence(F.lit(0), F.lit(89)).cast("array<bigint>")))
     nodes = nodes.withColumn("kind", F.when(t < 80, "block").otherwise("slide")).withColumn("is_visual", t % 10 == 0)

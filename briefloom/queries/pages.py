@@ -229,11 +229,11 @@ def columns_filled(spark, sf):
 
 # -------------------------------------------------------------------- pointing
 
-ANCHORS = """anchors AS (
-  SELECT deck_uid % 150 AS deck_uid, slide_no % 20 AS slide_index, block_uid AS uid,
-         CASE WHEN type = 'figure' THEN 'figure' ELSE 'block' END AS kind, 0.05::DOUBLE AS x, round(0.1::DOUBLE + 0.06::DOUBLE * (block_no - 1), 4) AS y,
-         0.9::DOUBLE AS w, 0.05::DOUBLE AS h, 0.85::DOUBLE AS confidence
-  FROM blocks JOIN slides USING (slide_uid) WHERE block_no <= 14),
+ANCHORS = """placed AS (SELECT *, row_number() OVER (PARTITION BY deck_uid ORDER BY slide_no) AS slide_index FROM slides),
+anchors AS (
+  SELECT deck_uid, slide_index, block_uid AS uid, CASE WHEN type = 'figure' THEN 'figure' ELSE 'block' END AS kind, 0.05::DOUBLE AS x,
+         ((1000 * n + 8500 * (block_no - 1)) // n) / 10000.0::DOUBLE AS y, 0.9::DOUBLE AS w, (8000 // n) / 10000.0::DOUBLE AS h, 0.85::DOUBLE AS confidence
+  FROM blocks JOIN placed USING (slide_uid) JOIN (SELECT slide_uid, count(*) AS n FROM blocks GROUP BY slide_uid) USING (slide_uid)),
 clicks AS (
   SELECT event_id AS gesture_id, user_id AS deck_uid, 1 + event_id % 5 AS slide_index, (event_id % 97) / 97.0::DOUBLE AS px,
          CAST(json_extract_string(props, '$.k') AS BIGINT) / 100.0::DOUBLE AS py FROM events)"""

@@ -88,13 +88,13 @@ def block_kinds(spark, sf):
 
 @query("inline_items", b.with_(DOCLINES, r"""
 t AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0 THEN '(1) ' || text || ' (2) ' || substr(text, 1, 9) || '（三） x'
-        WHEN line_no % 3 = 1 THEN 'see (1) and (2) ' || text ELSE text END AS text FROM dl WHERE line_no % 13 <> 0 AND NOT regexp_matches(text, '[0-9] *[.、]( |$)')),
+        WHEN line_no % 3 = 1 THEN 'see (1) and (2) ' || text ELSE text END AS text FROM dl WHERE NOT regexp_matches(text, '[0-9] *[.、]( |$)')),
 cut AS (SELECT *, string_split(regexp_replace(text, '([（(] *(?:[0-9]+|[一二三四五六七八九十]+) *[)）] *)', chr(1) || '\1', 'g'), chr(1)) AS p
-        FROM t WHERE line_no % 19 <> 0)""", body=f"""
+        FROM t)""", body=f"""
 SELECT doc_id, line_no, unnest(CASE WHEN len(p) >= 3 AND len(p[1]) <= 2
   THEN list_filter(list_transform(p[2:], lambda x: {b.strip('x')}), lambda x: x <> '') ELSE [text] END) AS item FROM cut"""))
 def inline_items(spark, sf):
-    d = doc_lines(spark, sf).filter("line_no % 13 <> 0 AND line_no % 19 <> 0").filter(
+    d = doc_lines(spark, sf).filter(
         ~F.col("text").rlike("[0-9] *[.、]( |$)"))
     n = F.col("line_no") % 3
     text = (F.when(n == 0, F.concat(F.lit("(1) "), "text", F.lit(" (2) "), F.substring("text", 1, 9), F.lit("（三） x")))

@@ -217,15 +217,16 @@ def edits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def anchors(spark: SparkSession, folder: str) -> DataFrame:
-    """One anchor per block of the numeric decks, stacked down the page."""
-    slides = num_slides(spark, folder).select("deck_uid", "slide_uid", (F.col("slide_no") % 20).alias("slide_index"))
+    """One anchor per block of the numeric decks: the blocks of a page share its height, pages count from 1 in their deck."""
+    pages = num_slides(spark, folder).select("deck_uid", "slide_uid", "slide_no")
+    pages = scale.running(pages, ["deck_uid"], scale.position_chunk("slide_no", 1 << 16), ["slide_no"], number="slide_index").drop("slide_no")
     blocks = numbered_blocks(num_blocks(spark, folder).select(*POSITION, "slide_uid", "block_uid", "type"))
-    y = F.round(0.1 + 0.06 * (F.col("block_no") - 1), 4)
-    return (blocks.join(slides, "slide_uid").filter(F.col("block_no") <= 14)
-            .select((F.col("deck_uid") % 150).alias("deck_uid"), "slide_index", F.col("block_uid").alias("uid"),
-                    F.when(F.col("type") == "figure", "figure").otherwise("block").alias("kind"),
-                    F.lit(0.05).alias("x"), y.alias("y"), F.lit(0.9).alias("w"), F.lit(0.05).alias("h"),
-                    F.lit(0.85).alias("confidence")))
+    blocks = scale.with_totals(blocks, ["slide_uid"], {"n": F.count(F.lit(1))})
+    part = lambda whole: F.expr(f"({whole}) DIV n") / F.lit(10000.0)
+    y = part("1000 * n + 8500 * (block_no - 1)")
+    return blocks.join(pages, "slide_uid").select(
+        "deck_uid", "slide_index", F.col("block_uid").alias("uid"), F.when(F.col("type") == "figure", "figure").otherwise("block").alias("kind"),
+        F.lit(0.05).alias("x"), y.alias("y"), F.lit(0.9).alias("w"), part("8000").alias("h"), F.lit(0.85).alias("confidence"))
 
 
 def clicks(spark: SparkSession, folder: str) -> DataFrame:
