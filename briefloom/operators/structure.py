@@ -146,35 +146,46 @@ def explode_tables(tables: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- typeset files
 
 
-def expand_includes(files: DataFrame, max_depth: int = 5) -> tuple[DataFrame, DataFrame]:
+REFERENCE = r"\\(?:input|include)\s*\{([^}]*)\}"
+
+
+def expand_includes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Splice included files into their parents; returns (expanded, unresolved).
 
-    ``files``: path, text. Each round replaces every reference by one join on the path, at most ``max_depth``
-    rounds; a round that finds nothing left to replace ends the loop.
+    ``files``: path, text. A file is spliced once all files it refers to are, so every text is written once and the rounds
+    are as many as the files nest deep. What then still waits is a loop or leads to one: such references stay in the text.
+    ``unresolved``: path, name, reason (``missing``, which leaves nothing in the text, or ``loop``). A reference names a
+    path with or without its suffix; the path as it stands wins.
     """
-    ref = r"\\(?:input|include)\s*\{([^}]*)\}"
-    bodies = files.select(F.col("path").alias("__p"), F.col("text").alias("__body"))
-    current, missing = files.select("path", "text"), None
-    for _ in range(max_depth):
-        if current.filter(F.col("text").rlike(ref)).limit(1).isEmpty():
+    named = files.select("path", F.posexplode(F.transform(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(1)), tx.strip)).alias("n", "name"))
+    paths = files.select(F.col("path").alias("target")).distinct()
+    want = named.select("*", F.explode(F.array("name", F.concat("name", F.lit(".tex")))).alias("target"))
+    found = want.join(paths, "target").groupBy("path", "n").agg(F.min_by("target", F.length("target")).alias("target"))
+    refs = cut_lineage(named.join(found, ["path", "n"], "left"))
+    open_, closed = files.select("path", "text"), cut_lineage(files.select("path", "text").limit(0))
+
+    def spliced(some: DataFrame) -> DataFrame:
+        """The files with all closed targets in place; an open target's reference stays."""
+        body = (refs.join(some.select("path"), "path", "left_semi").join(closed.select(F.col("path").alias("target"), F.col("text").alias("body")), "target", "left")
+                .groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "body", F.col("target").isNotNull().alias("known")))), lambda x: F.struct(
+                    x["body"].alias("body"), x["known"].alias("known"))).alias("found")))
+        said = F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(0))
+        into = F.zip_with(F.coalesce("found", F.array().cast("array<struct<body:string,known:boolean>>")), said,
+                          lambda f, r: F.coalesce(f["body"], F.when(f["known"], r).otherwise("")))
+        text = F.array_join(F.zip_with(F.split("text", REFERENCE, -1), into, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+        return some.join(body, "path", "left").select("path", text.alias("text"))
+
+    while True:
+        waits = refs.join(open_.select(F.col("path").alias("target")), "target", "left_semi").select("path").distinct()
+        ready = cut_lineage(spliced(open_.join(waits, "path", "left_anti")))
+        if ready.isEmpty():
             break
-        parts = current.withColumn("__names", F.transform(
-            F.regexp_extract_all("text", F.lit(ref), F.lit(1)), tx.strip)).withColumn("__cuts", F.split("text", ref))
-        refs = parts.select("path", F.posexplode_outer("__names").alias("n", "name"))
-        named = refs.filter("name IS NOT NULL")
-        want = named.select("path", "n", "name", F.explode(F.array("name", F.concat("name", F.lit(".tex")))).alias("__p"))
-        found = want.join(bodies, "__p").groupBy("path", "n", "name").agg(
-            F.min_by("__body", F.length("__p")).alias("__body"))
-        lost = named.join(found.select("path", "n"), ["path", "n"], "left_anti").select("path", "name")
-        missing = lost if missing is None else missing.unionByName(lost)
-        bodies_in = named.join(found, ["path", "n", "name"], "left").groupBy("path").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("n", F.coalesce("__body", F.lit("")).alias("b")))),
-            lambda x: x["b"]).alias("__in"))
-        woven = F.array_join(F.zip_with("__cuts", F.coalesce("__in", F.array().cast("array<string>")),
-                                        lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-        current = cut_lineage(parts.join(bodies_in, "path", "left").select("path", woven.alias("text")))
-    empty = files.select("path", F.lit("").alias("name")).limit(0)
-    return current, (empty if missing is None else missing.distinct())
+        closed = cut_lineage(closed.unionByName(ready))
+        open_ = cut_lineage(open_.join(ready.select("path"), "path", "left_anti"))
+    loops = refs.join(open_.select(F.col("path").alias("target")), "target", "left_semi").join(open_.select("path"), "path", "left_semi")
+    unresolved = (refs.filter("target IS NULL").select("path", "name", F.lit("missing").alias("reason"))
+                  .unionByName(loops.select("path", "name", F.lit("loop").alias("reason"))).distinct())
+    return closed.unionByName(spliced(open_)), unresolved
 
 
 TOKEN = (r"\\begin\{[a-zA-Z*]+\}|\\end\{[a-zA-Z*]+\}|\\(?:part|chapter|section|subsection|subsubsection|paragraph)\*?"

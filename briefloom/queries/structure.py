@@ -301,21 +301,34 @@ def tabular_cells(spark, sf):
         "doc_id", F.col("row_no").cast("long").alias("row_no"), F.array_join("r", "|").alias("cells"))
 
 
-@query("includes_expanded", """
-SELECT 'd' || doc_id || '.tex' AS path, CASE WHEN doc_id % 3 = 0 THEN 'A' || doc_id || ' ' ||
-    CASE WHEN doc_id % 2 = 0 THEN 'leaf' ELSE '' END || ' end'
-  WHEN doc_id % 3 = 1 THEN 'B' || 'mid leaf.' ELSE 'C' || doc_id END AS text FROM documents
-UNION ALL SELECT 'leaf.tex', 'leaf' UNION ALL SELECT 'mid.tex', 'mid leaf.'""")
+# Files of the documents' whole texts, in chains of nine that each include the next; every third chain ends in a loop of three.
+_NEXT = "CASE WHEN doc_id % 27 = 26 THEN doc_id - 2 WHEN doc_id % 9 < 8 THEN doc_id + 1 END"
+FILES = f"""own AS (SELECT doc_id, regexp_replace(text, '[{chr(92) * 2}{{}}]', '', 'g') AS w, {_NEXT} AS nxt FROM documents),
+linked AS (SELECT o.*, n.doc_id AS there, doc_id % 27 >= 18 AND (SELECT max(doc_id) FROM own) >= doc_id // 27 * 27 + 26 AS looped
+           FROM own o LEFT JOIN (SELECT doc_id FROM own) n(doc_id) ON n.doc_id = nxt)""".replace("o.*, n.doc_id AS there, doc_id % 27", "o.*, n.doc_id AS there, o.doc_id % 27").replace(
+               ">= doc_id // 27", ">= o.doc_id // 27")
+
+
+def include_files(spark, sf):
+    k = F.col("doc_id")
+    nxt = F.when(k % 27 == 26, k - 2).when(k % 9 < 8, k + 1)
+    text = F.concat(tx.sub(F.col("text"), r"[\\{}]", ""), F.lit(r"\include{nowhere}; "), F.coalesce(F.concat(F.lit(r"\input{ d"), nxt, F.lit("}")), F.lit("end")))
+    return c.documents(spark, sf).select(F.concat(F.lit("d"), k, F.lit(".tex")).alias("path"), text.alias("text"))
+
+
+@query("includes_expanded", b.with_(FILES, body="""
+SELECT 'd' || a.doc_id || '.tex' AS path, CASE WHEN a.looped THEN a.w || '; ' || chr(92) || 'input{ d' || a.nxt || '}'
+         ELSE string_agg(b.w || '; ' || CASE WHEN b.nxt IS NULL THEN 'end' ELSE '' END, '' ORDER BY b.doc_id) END AS text
+FROM linked a JOIN linked b ON b.doc_id // 9 = a.doc_id // 9 AND b.doc_id >= a.doc_id GROUP BY a.doc_id, a.w, a.nxt, a.looped"""))
 def includes_expanded(spark, sf):
-    d = c.documents(spark, sf)
-    target = F.when(F.col("doc_id") % 2 == 0, "leaf").otherwise("nowhere")
-    text = (F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("A"), "doc_id", F.lit(r" \input{"), target, F.lit("} end")))
-            .when(F.col("doc_id") % 3 == 1, F.lit(r"B\include{mid}")).otherwise(F.concat(F.lit("C"), "doc_id")))
-    files = d.select(F.concat(F.lit("d"), "doc_id", F.lit(".tex")).alias("path"), text.alias("text"))
-    from briefloom import scale
-
-    shared = scale.fixed_table(spark, ("path", "text"), [("leaf.tex", "leaf"), ("mid.tex", r"mid \input{leaf.tex}.")])
-    return st.expand_includes(files.unionByName(shared))[0]
+    return st.expand_includes(include_files(spark, sf))[0]
+
+
+@query("includes_unresolved", b.with_(FILES, body="""
+SELECT 'd' || doc_id || '.tex' AS path, 'nowhere' AS name, 'missing' AS reason FROM linked
+UNION ALL SELECT 'd' || doc_id || '.tex', 'd' || nxt, CASE WHEN looped THEN 'loop' ELSE 'missing' END FROM linked WHERE nxt IS NOT NULL AND (looped OR there IS NULL)"""))
+def includes_unresolved(spark, sf):
+    return st.expand_includes(include_files(spark, sf))[1]
 
 
 _SPECIALS = "text || ' 50% & $5 #1 a_b {x} ~ ^ \"q\" c:\\d'"
