@@ -192,7 +192,7 @@ def _set_columns(d: Decks, ops: DataFrame, kinds: set[str]) -> Decks:
     return Decks(same(slides, d.slides), same(blocks, d.blocks), same(sections, d.sections), same(assets, d.assets), same(decks, d.decks))
 
 
-def _structural_step(d: Decks, ops: DataFrame, kinds: set[str]) -> tuple[Decks, DataFrame]:
+def _structural_step(d: Decks, ops: DataFrame, kinds: set[str], step: int) -> tuple[Decks, DataFrame]:
     """One edit per patch; returns the new tables and the targets that were refused."""
     slides, blocks, refused = d.slides, d.blocks, None
 
@@ -241,21 +241,27 @@ def _structural_step(d: Decks, ops: DataFrame, kinds: set[str]) -> tuple[Decks,
         slides = cut_lineage(new.select(*d.slides.columns))
     if "split_slide" in kinds:
         pages, new, bad = ed.split_slides(slides, blocks, of("split_slide").select("target", "after_block"))
-        # The new page is made for, not cut from: the time stays with the first.
+        # The time stays with the first page. A later split of the same page in this patch puts its page before the earlier one's.
         old = d.slides.select("slide_uid", F.lit(True).alias("__old"))
-        pages = cut_lineage(pages.join(old, "slide_uid", "left").withColumns({
+        slides = cut_lineage(pages.join(old, "slide_uid", "left").withColumns({
+            "slide_no": F.col("slide_no") + F.when(F.col("__old"), 0.0).otherwise(0.5 ** step - 0.5),
             "dwell_seconds": F.when(F.col("__old"), F.col("dwell_seconds")),
-            "dwell_locked": F.when(F.col("__old"), F.col("dwell_locked")).otherwise(False)}).drop("__old").withColumnRenamed("slide_no", "__at"))
+            "dwell_locked": F.when(F.col("__old"), F.col("dwell_locked")).otherwise(False)}).select(*d.slides.columns))
         refuse(bad)
         blocks = cut(new)
-        # Whole numbers again, so that the next page to be split off finds room behind its own.
-        slides = scale.running(pages, ["deck_uid", "section_uid"], {"__chunk": F.floor(F.col("__at") / scale.CHUNK)}, ["__at", "slide_uid"], number="slide_no")
     if slides is not d.slides:
         slides = slides.withColumn("slide_no", F.col("slide_no").cast("double")).select(*d.slides.columns)
     return (replace(d, slides=slides, blocks=blocks if blocks is d.blocks else blocks.select(*d.blocks.columns)),
             refused if refused is not None else ops.select(F.col("target").cast("string").alias("target")).limit(0))
 
 
+def _renumbered(slides: DataFrame) -> DataFrame:
+    """Pages numbered from 1 in their section, in the order they have."""
+    at = slides.withColumnRenamed("slide_no", "__at")
+    placed = scale.running(at, ["deck_uid", "section_uid"], {"__chunk": F.floor(F.col("__at") / scale.CHUNK)}, ["__at", "slide_uid"], number="slide_no")
+    return placed.withColumn("slide_no", F.col("slide_no").cast("double")).select(*slides.columns)
+
+
 def _refused_references(ops: DataFrame, d: Decks) -> DataFrame:
     """Edits that name an asset the deck does not have."""
     return ops.filter("op = 'replace_asset'").join(d.assets.select("deck_uid", F.col("asset_uid").alias("asset_ref")), ["deck_uid", "asset_ref"], "left_anti")
@@ -318,6 +324,8 @@ def apply_patches(d: Decks, ops: DataFrame, reallocate: Callable[[Decks, DataFra
         d = entered = full.each(lambda t, here=here: t.join(here, "deck_uid", "left_semi"))
         now = log.filter(F.col("stage") == stage)
         lost = ops.select("deck_uid", "patch_id").limit(0)
+        if any("split_slide" in kinds for (s, _), kinds in rounds.items() if s == stage):
+            d = replace(d, slides=cut_lineage(_renumbered(d.slides)))  # whole numbers, so that new pages find room
         before, whole = d, now.filter("staged")
         for step in range(1, steps + 1):
             kinds = rounds.get((stage, step), set())
@@ -328,7 +336,7 @@ def apply_patches(d: Decks, ops: DataFrame, reallocate: Callable[[Decks, DataFra
             bad = bad.select("deck_uid", "patch_id").unionByName(_refused_references(fine, d).select("deck_uid", "patch_id"))
             if kinds - set(STRUCTURAL):
                 d = _set_columns(d, fine.filter(~_structural()), kinds)
-            d, no = _structural_step(d, fine.filter(_structural()), kinds)
+            d, no = _structural_step(d, fine.filter(_structural()), kinds, step)
             turned = edits.join(no, "target", "left_semi").select("deck_uid", "patch_id")
             lost = cut_lineage(lost.unionByName(bad).unionByName(turned).distinct())
             d = _cut(d, start)
