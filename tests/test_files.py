@@ -40,3 +40,15 @@ def test_edit_log(spark, tmp_path):
     assert [(r.seq, r.op_no, r.op, r.target) for r in ops.orderBy("op_no").collect()] == [(0, 0, "pin", "b1"), (0, 1, "set_text", "b2")]
     io.write_edit_log(ops, str(tmp_path / "out"))
     assert len(spark.read.json(str(tmp_path / "out")).head().operations) == 2
+
+
+def test_includes_nest_deep_and_loops_are_reported(spark):
+    from briefloom.operators import structure as st
+
+    files = [(f"f{i}.tex", f"{i} \\input{{f{i + 1}}}") for i in range(8)] + [("f8.tex", "8\\include{ nowhere }.")]
+    files += [("a.tex", "a \\input{b.tex} \\input{f8}"), ("b.tex", "b \\input{a}"), ("c.tex", "c \\input{a} \\input{f7}"), ("none.tex", "")]
+    out, left = st.expand_includes(spark.createDataFrame(files, "path string, text string"))
+    got = {r.path: r.text for r in out.collect()}
+    assert got["f0.tex"] == "0 1 2 3 4 5 6 7 8." and got["f8.tex"] == "8." and got["none.tex"] == ""
+    assert got["a.tex"] == "a \\input{b.tex} 8." and got["c.tex"] == "c \\input{a} 7 8."
+    assert {tuple(r) for r in left.collect()} == {("f8.tex", "nowhere", "missing"), ("a.tex", "b.tex", "loop"), ("b.tex", "a", "loop"), ("c.tex", "a", "loop")}
