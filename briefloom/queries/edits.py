@@ -375,9 +375,10 @@ AFTER_N = """after_n AS (SELECT * EXCLUDE (block_no), row_number() OVER (PARTITI
 
 def _fps(spark, sf):
     t = c.deck_tables(spark, sf)
-    before = c.numbered_blocks(t.blocks)
+    large = c.large_slides(spark, sf)
+    before = c.placed_blocks(spark, sf, large)
     gone = after_blocks(before).filter("NOT (slide_uid % 23 = 0 AND block_no = 2)").drop("block_no")
-    after = c.numbered_blocks(gone)
+    after = c.numbered_blocks(gone, large)
     # uids and places come from the untouched line item, so edits of the text do not move them
     fields = (("role", "is_backup"), ("units", "channel"))
     return ed.node_fingerprints(t.slides, before, *fields), ed.node_fingerprints(t.slides, after, *fields), t

@@ -29,7 +29,7 @@ def slides(spark, sf):
     from briefloom import scale
 
     chunk = {"__c1": F.col("section_no"), "__c2": F.floor(F.col("slide_no") / 65536)}
-    s = scale.running(s, ["deck_uid"], chunk, ["section_no", "slide_no"], number="page_no")
+    s = scale.running(s, ["deck_uid"], chunk, ["section_no", "slide_no"], number="page_no", large=scale.large_groups(s, ["deck_uid"]))
     title = F.element_at(F.array(*[F.lit(t) for t in TITLES]), (F.col("slide_uid") % 7 + 1).cast("int"))
     return cut_lineage(s.select("deck_uid", F.col("slide_uid").cast("string").alias("slide_uid"), "page_no", title.alias("title"),
                     F.when(F.col("slide_uid") % 4 != 0, (20 + F.col("slide_uid") % 9).cast("double")).alias("dwell_seconds")))
@@ -37,7 +37,7 @@ def slides(spark, sf):
 
 def blocks(spark, sf):
     d = c.num_slides(spark, sf).select("slide_uid", "deck_uid")
-    n = c.numbered_blocks(c.num_blocks(spark, sf)).join(d, "slide_uid")
+    n = c.placed_blocks(spark, sf).join(d, "slide_uid")
     said = F.when(F.col("part_key") % 9 == 0, F.concat(F.lit("本研究创新"), "part_key")).otherwise(F.concat(F.lit("item "), "part_key"))
     # Read by every rule, so written once rather than derived again for each.
     return cut_lineage(n.select("deck_uid", F.col("slide_uid").cast("string").alias("slide_uid"), "block_uid", "block_no", said.alias("content"),

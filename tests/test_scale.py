@@ -100,3 +100,45 @@ def test_apportion_on_bins_equals_block_by_block(spark):
     out = {r.i: r.m for r in df.select("i", bg.apportion(bins, F.col("pool"), F.col("cap").cast("long")).alias("m")).collect()}
     for i, ws, pool, cap in cases:
         assert [out[i][w] for w in ws] == plain_apportion(ws, pool, cap)
+
+
+def test_only_listed_groups_are_cut_and_all_are_numbered_alike(spark):
+    data = [*rows(), *[(None, 1000 + i, i % 9, None) for i in range(60)], *[("g0", 1000 + i, i % 9, None) for i in range(3)]]
+    df = spark.createDataFrame(data, "g string, i int, v int, w int")
+    large = scale.large_groups(df, ["g"], 50)
+    sizes = {g: sum(d[0] == g for d in data) for g in {d[0] for d in data}}
+    assert {r[0][0] for r in large.collect()} == {g for g, n in sizes.items() if n > 50}
+    for listed in (large, large.limit(0)):
+        out = scale.running(df, ["g"], scale.position_chunk("i", 50), ["i"], {"before": F.col("v")}, number="n", large=listed).collect()
+        assert len(out) == len(data)
+        for r in out:
+            earlier = [d for d in data if d[0] == r.g and d[1] < r.i]
+            assert r.before == sum(d[2] for d in earlier) and r.n == len(earlier) + 1
+
+
+def moves(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_numbered_rows_move_once(spark):
+    """Rows, partial totals of chunks twice, and nothing more: the join finds the rows where the window left them."""
+    df = spark.range(400).select((F.col("id") % 7).alias("g"), F.col("id").alias("i"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert moves(scale.running(df, ["g"], scale.position_chunk("i", 50), ["i"], number="n")) <= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_line_items_are_numbered_by_place_before_they_are_written_out(spark, tmp_path):
+    from briefloom.sources import corpus as c
+
+    items = [(k, ln, p, s, float(q), 10.0 * q, 0.01 * q, "A") for k in (1, 2, None) for ln, p, s, q in ((2, 5, 1, 3), (1, 9000, 2, 4), (1, 7, 9, 5), (2, 5, 1, 2))]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, "
+                                 "l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = c.placed_blocks(spark, str(tmp_path))
+    assert {(r.slide_uid, r.line_no, r.part_key, r.units, r.block_no) for r in got.collect()} == {
+        (k, ln, p, q, n) for k in (1, 2, None) for n, (ln, p, q) in enumerate(((1, 7, 5), (1, 9000, 4), (2, 5, 2), (2, 5, 3)), 1)}
+    plain = c.numbered_blocks(c.num_blocks(spark, str(tmp_path)))
+    assert sorted(map(str, got.select(*sorted(plain.columns)).collect())) == sorted(map(str, plain.select(*sorted(plain.columns)).collect()))
