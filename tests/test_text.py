@@ -213,3 +213,19 @@ def test_table_function_equals_the_expression(spark):
     sql = spark.sql("SELECT i, point_no, point FROM txt, LATERAL points(t, 5)").collect()
     cols = spark.table("txt").select("i", F.posexplode(tx.split_into_points("t", 5)).alias("p", "point")).collect()
     assert sorted((r.i, r.point_no, r.point) for r in sql) == sorted((r.i, r.p + 1, r.point) for r in cols)
+
+
+def test_a_word_without_end_is_measured_in_one_pass(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from briefloom.functions import text as tx
+
+    word = "a" * 60_000
+    df = spark.createDataFrame([(f"{word}!，one two, {word}-; three four five six",), (f"{word}...",)], "t string")
+    began = time.time()
+    got = [[(g.u, g.h, g.t) for g in r.g] for r in df.select(tx._gauge(tx.clauses("t")).alias("g")).collect()]
+    assert got == [[(1, True, False), (2, True, True), (1, False, True), (4, False, True)], [(1, True, True)]]
+    assert df.select(F.size(tx.split_into_points("t", 3)).alias("n")).collect()[0].n >= 3
+    assert time.time() - began < 30
