@@ -157,30 +157,37 @@ def expand_includes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``unresolved``: path, name, reason (``missing``, which leaves nothing in the text, or ``loop``). A reference names a
     path with or without its suffix; the path as it stands wins.
     """
+    files = cut_lineage(files.select("path", "text"))  # read in every round
     named = files.select("path", F.posexplode(F.transform(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(1)), tx.strip)).alias("n", "name"))
     paths = files.select(F.col("path").alias("target")).distinct()
     want = named.select("*", F.explode(F.array("name", F.concat("name", F.lit(".tex")))).alias("target"))
     found = want.join(paths, "target").groupBy("path", "n").agg(F.min_by("target", F.length("target")).alias("target"))
     refs = cut_lineage(named.join(found, ["path", "n"], "left"))
-    open_, closed = files.select("path", "text"), cut_lineage(files.select("path", "text").limit(0))
+    open_, closed = cut_lineage(files.select("path")), cut_lineage(files.select("path", "text").limit(0))
 
     def spliced(some: DataFrame) -> DataFrame:
-        """The files with all closed targets in place; an open target's reference stays."""
-        body = (refs.join(some.select("path"), "path", "left_semi").join(closed.select(F.col("path").alias("target"), F.col("text").alias("body")), "target", "left")
-                .groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "body", F.col("target").isNotNull().alias("known")))), lambda x: F.struct(
-                    x["body"].alias("body"), x["known"].alias("known"))).alias("found")))
+        """The files of these paths with all closed targets in place; an open target's reference stays."""
+        own = files.select("path", "text").join(some.select("path").distinct(), "path", "left_semi")
+        # Small beside the texts: where it is sent to them, only the bodies that are spliced leave their place.
+        want = cut_lineage(refs.join(some.select("path"), "path", "left_semi"))
+        bodies = closed.select(F.col("path").alias("target"), F.col("text").alias("body"))
+        found = (want.join(bodies, "target").select("path", "n", "body", F.lit(True).alias("known"))
+                 .unionByName(want.join(bodies.select("target"), "target", "left_anti").select(
+                     "path", "n", F.lit(None).cast("string").alias("body"), F.col("target").isNotNull().alias("known"))))
+        body = found.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "body", "known"))), lambda x: F.struct(
+            x["body"].alias("body"), x["known"].alias("known"))).alias("found"))
         said = F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(0))
         into = F.zip_with(F.coalesce("found", F.array().cast("array<struct<body:string,known:boolean>>")), said,
                           lambda f, r: F.coalesce(f["body"], F.when(f["known"], r).otherwise("")))
         text = F.array_join(F.zip_with(F.split("text", REFERENCE, -1), into, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-        return some.join(body, "path", "left").select("path", text.alias("text"))
+        return own.join(body, "path", "left").select("path", text.alias("text"))
 
     while True:
         waits = refs.join(open_.select(F.col("path").alias("target")), "target", "left_semi").select("path").distinct()
-        ready = cut_lineage(spliced(open_.join(waits, "path", "left_anti")))
+        ready = cut_lineage(spliced(cut_lineage(open_.join(waits, "path", "left_anti"))))
         if ready.isEmpty():
             break
-        closed = cut_lineage(closed.unionByName(ready))
+        closed = closed.unionByName(ready)  # every text is written once
         open_ = cut_lineage(open_.join(ready.select("path"), "path", "left_anti"))
     loops = refs.join(open_.select(F.col("path").alias("target")), "target", "left_semi").join(open_.select("path"), "path", "left_semi")
     unresolved = (refs.filter("target IS NULL").select("path", "name", F.lit("missing").alias("reason"))

@@ -52,3 +52,20 @@ def test_includes_nest_deep_and_loops_are_reported(spark):
     assert got["f0.tex"] == "0 1 2 3 4 5 6 7 8." and got["f8.tex"] == "8." and got["none.tex"] == ""
     assert got["a.tex"] == "a \\input{b.tex} 8." and got["c.tex"] == "c \\input{a} 7 8."
     assert {tuple(r) for r in left.collect()} == {("f8.tex", "nowhere", "missing"), ("a.tex", "b.tex", "loop"), ("b.tex", "a", "loop"), ("c.tex", "a", "loop")}
+
+
+def test_included_texts_are_written_once(spark, monkeypatch):
+    from briefloom.operators import structure as st
+
+    files = [(f"f{i}.tex", f"{i} \\input{{f{i + 1}}}") for i in range(8)] + [("f8.tex", "8.")]
+    keep, written = st.cut_lineage, []
+
+    def counted(df):
+        out = keep(df)
+        written.append(out.count() if "text" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(st, "cut_lineage", counted)
+    out, left = st.expand_includes(spark.createDataFrame(files, "path string, text string"))
+    assert {r.path: r.text for r in out.collect()}["f0.tex"] == "0 1 2 3 4 5 6 7 8." and left.count() == 0
+    assert sum(written) == 2 * len(files)  # as given and as spliced
