@@ -73,4 +73,5 @@ def changed_sources(old: DataFrame, new: DataFrame) -> DataFrame:
     """Documents whose normalised text differs between two snapshots. Only digests are shuffled."""
     a = old.select("doc_id", tx.source_fingerprint("text").alias("old_sha"))
     b = new.select("doc_id", tx.source_fingerprint("text").alias("new_sha"))
-    return a.join(b, "doc_id").filter(F.col("old_sha") != F.col("new_sha"))
+    # Digests are never null. A plain inequality would have Spark look for nulls first: each text cleaned once more, before it is spread.
+    return a.join(b, "doc_id").filter(~F.col("old_sha").eqNullSafe(F.col("new_sha")))
