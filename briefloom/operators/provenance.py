@@ -14,11 +14,13 @@ def assign_offsets(segments: DataFrame, separator: int = 2) -> DataFrame:
 
     ``segments``: doc_id, seg_no, text. Documents of any length spread over chunks of consecutive segments.
     """
-    kept = segments.withColumn("text", tx.normalize_text("text")).filter("text <> ''")
-    placed = scale.running(kept, ["doc_id"], scale.position_chunk("seg_no"), ["seg_no"],
-                           {"start": F.length("text") + F.lit(separator)})
-    return placed.withColumn("start", F.col("start").cast("long")).withColumn(
-        "end", F.col("start") + F.length("text"))
+    kept = segments.filter(tx.has_content("text")).withColumn("text", tx.normalize_text("text"))
+    # Measured before the rows move, so a caller that drops the text does not move it either. Empty segments count for a
+    # document's size, so that counting does not clean.
+    kept = kept.withColumn("__n", F.length("text"))
+    placed = scale.running(kept, ["doc_id"], scale.position_chunk("seg_no"), ["seg_no"], {"start": F.col("__n") + F.lit(separator)},
+                           large=scale.large_groups(segments, ["doc_id"]))
+    return placed.withColumn("start", F.col("start").cast("long")).withColumn("end", F.col("start") + F.col("__n")).drop("__n")
 
 
 def segment_arrays(docs: DataFrame) -> DataFrame:
