@@ -195,8 +195,8 @@ def expand_includes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return closed.unionByName(spliced(open_)), unresolved
 
 
-TOKEN = (r"\\begin\{[a-zA-Z*]+\}|\\end\{[a-zA-Z*]+\}|\\(?:part|chapter|section|subsection|subsubsection|paragraph)\*?"
-         r"\s*(?:\[[^\]]*\])?\s*\{[^{}]*\}")
+TOKEN = (r"\\(?:begin\{[a-zA-Z*]+\}|end\{[a-zA-Z*]+\}|(?:part|chapter|section|subsection|subsubsection|paragraph)\*?"
+         r"\s*(?:\[[^\]]*\])?\s*\{[^{}]*\})")
 LISTS = ("itemize", "enumerate", "description")
 MATHS = ("equation", "align", "gather", "multline", "eqnarray", "displaymath")
 FLOATS = ("figure", "table", "wrapfigure")
@@ -230,6 +230,8 @@ def latex_blocks(docs: DataFrame) -> DataFrame:
     run = scale.scan(F.col("parts"), start, step, lambda st: st, state, state)
     flat = d.withColumn("parts", parts).select("doc_id", F.posexplode(run).alias("pos", "r")).select(
         "doc_id", "pos", "r.*")
+    # Read by three kinds of block, so the source is cut once and written rather than cut again for each.
+    flat = cut_lineage(flat)
     # Free text and section titles stand outside any environment.
     free = flat.filter(~F.col("inside") & (tx.strip("text") != "")).select(
         "doc_id", (F.col("pos") * 2).alias("ord"), F.lit("text").alias("class"), F.lit(0).alias("level"),
