@@ -11,6 +11,7 @@ from briefloom.functions import claims as cl
 from briefloom.operators import budget as bg
 from briefloom.operators import model as md
 from briefloom.operators import planning as pl
+from briefloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,8 @@ def plan_documents(docs: DataFrame, total_seconds: int, density: str = "balanced
     sections = bg.section_weights(named.withColumn("rubric_key", cl.classify_by_keywords(F.coalesce(
         "heading", F.lit("")), rubrics)))
     sections = sections.withColumn("live_pages", F.when(F.col("is_backup"), 0).otherwise(F.col("pages")))
-    sections = pl.divider_numbers(pl.order_sections(sections, scenario), scenario)
+    # Cover, agenda, dividers and agenda items all read the sections: a short row each, written once rather than planned again.
+    sections = cut_lineage(pl.divider_numbers(pl.order_sections(sections, scenario), scenario))
     decks = md.deck_defaults(docs.select("doc_id", F.lit("en").alias("lang"), "title", "authors")).withColumns(
         {"total_seconds": F.lit(total_seconds), "density": F.lit(density), "scenario": F.lit(scenario)})
     nav = pl.navigation_pages(paged.select("doc_id", "title", "authors", "affiliation"), sections)
