@@ -95,13 +95,19 @@ def numbered_body(blocks: DataFrame) -> DataFrame:
     """On-page blocks with their number among all (on_no) and among the texts from the top (body_no), from the end
     (tail_no) and by weakness (weak_no)."""
     on = blocks.filter(F.col("channel") == "slide").withColumn("is_visual", md.is_visual())
+    orders = {"body_no": ["block_no"], "tail_no": [F.desc("block_no")], "weak_no": ["pinned", "importance_milli", "block_no"]}
+    if scale.large_groups(on, ["slide_uid"]).isEmpty():
+        # A window a number, all dealt by the slide: the rows leave once. The visuals are numbered behind the texts.
+        text = scale.running_whole(on, ["slide_uid"], ["block_no"], number="on_no").filter("is_visual IS NOT NULL")
+        for name, order in orders.items():
+            text = scale.running_whole(text, ["slide_uid"], [F.col("is_visual"), *order], number=name)
+        return text.withColumns({n: F.when(~F.col("is_visual"), F.col(n)) for n in orders})
     at = {"__c": F.floor(F.col("block_no") / 4096)}
     on = cut_lineage(scale.running(on, ["slide_uid"], at, ["block_no"], number="on_no"))
     text = on.filter(~F.col("is_visual"))
-    text = scale.running(text, ["slide_uid"], at, ["block_no"], number="body_no")
-    text = scale.running(text, ["slide_uid"], {"__c": -F.floor(F.col("block_no") / 4096)}, [F.desc("block_no")], number="tail_no")
     weak = {"__c1": F.col("pinned").cast("int"), "__c2": F.col("importance_milli"), "__c3": F.floor(F.col("block_no") / 4096)}
-    text = scale.running(text, ["slide_uid"], weak, ["pinned", "importance_milli", "block_no"], number="weak_no")
+    for (name, order), chunk in zip(orders.items(), (at, {"__c": -F.floor(F.col("block_no") / 4096)}, weak), strict=True):
+        text = scale.running(text, ["slide_uid"], chunk, order, number=name)
     none = {n: F.lit(None).cast("long") for n in ("body_no", "tail_no", "weak_no")}
     return text.unionByName(on.filter("is_visual").withColumns(none))
 

@@ -35,9 +35,11 @@ def slides(spark, sf):
                     F.when(F.col("slide_uid") % 4 != 0, (20 + F.col("slide_uid") % 9).cast("double")).alias("dwell_seconds")))
 
 
-def blocks(spark, sf):
+def blocks(spark, sf, decks=None):
+    """The blocks of all decks, or of all slides of the given ones."""
     d = c.num_slides(spark, sf).select("slide_uid", "deck_uid")
-    n = c.placed_blocks(spark, sf).join(d, "slide_uid")
+    only = None if decks is None else d.join(decks, "deck_uid", "left_semi").select("slide_uid")
+    n = c.placed_blocks(spark, sf, None if decks is None else cut_lineage(c.large_slides(spark, sf)), only).join(d, "slide_uid")
     said = F.when(F.col("part_key") % 9 == 0, F.concat(F.lit("本研究创新"), "part_key")).otherwise(F.concat(F.lit("item "), "part_key"))
     # Read by every rule, so written once rather than derived again for each.
     return cut_lineage(n.select("deck_uid", F.col("slide_uid").cast("string").alias("slide_uid"), "block_uid", "block_no", said.alias("content"),
@@ -45,9 +47,15 @@ def blocks(spark, sf):
                     F.col("units").alias("word_budget")))
 
 
+def spoken_to(spark, sf):
+    """The decks that somebody speaks to; no request reaches the blocks of another."""
+    said = c.read(spark, sf, "conversations").filter("role = 'user'").select(F.col("conv_id").alias("deck_uid"))
+    return cut_lineage(c.read(spark, sf, "events").select(F.col("user_id").alias("deck_uid")).unionByName(said).distinct())
+
+
 def utterances(spark, sf, s=None, bl=None):
     """A phrase per event; one in six selects a page, one in six a block, and user turns stand for plain talk."""
-    s, bl = s or slides(spark, sf), bl or blocks(spark, sf)
+    s, bl = s or slides(spark, sf), bl or blocks(spark, sf, spoken_to(spark, sf))
     first_slide = s.groupBy("deck_uid").agg(F.min("slide_uid").alias("fs"))
     first_block = bl.groupBy("deck_uid").agg(F.min("block_uid").alias("fb"))
     e = F.col("event_id")
@@ -59,7 +67,8 @@ def utterances(spark, sf, s=None, bl=None):
     said = c.read(spark, sf, "conversations").filter("role = 'user'").select(
         (-1 - F.col("conv_id") * 100 - F.col("turn")).alias("utt_id"), F.col("conv_id").alias("deck_uid"), "text",
         F.array().cast("array<string>").alias("selection"))
-    return r.select(e.alias("utt_id"), "deck_uid", "text", pick.alias("selection")).unionByName(said)
+    # Every cue reads the requests, so they are written once.
+    return cut_lineage(r.select(e.alias("utt_id"), "deck_uid", "text", pick.alias("selection")).unionByName(said))
 
 
 USQL = f"""rs AS (
@@ -105,7 +114,7 @@ res AS (
 
 
 def facts(spark, sf):
-    s, bl = slides(spark, sf), blocks(spark, sf)
+    s, bl = slides(spark, sf), blocks(spark, sf, spoken_to(spark, sf))
     return cut_lineage(rq.request_facts(utterances(spark, sf, s, bl), s, bl)), s, bl
 
 
@@ -118,7 +127,7 @@ def utterance_numbers(spark, sf):
 
 @query("resolve_slide", b.with_(b.SLIDES, b.BLOCKS, USQL, RESOLVE, body="SELECT utt_id, slide_uid, pct AS slide_pct, why AS slide_why FROM res"))
 def resolve_slide(spark, sf):
-    s, bl = slides(spark, sf), blocks(spark, sf)
+    s, bl = slides(spark, sf), blocks(spark, sf, spoken_to(spark, sf))
     return rq.resolve_slide(utterances(spark, sf, s, bl), s, bl).select("utt_id", "slide_uid", "slide_pct", "slide_why")
 
 
