@@ -10,7 +10,7 @@ from briefloom.functions import lines as ln
 from briefloom.operators import planning as pl
 from briefloom.operators import provenance as pv
 from briefloom.operators import structure as st
-from briefloom.session import cut_lineage
+from briefloom.session import cut_lineage, discard
 
 
 def segment_documents(lines: DataFrame) -> DataFrame:
@@ -19,10 +19,14 @@ def segment_documents(lines: DataFrame) -> DataFrame:
     Lines are repaired and classed, joined into paragraphs, cut into list items, and placed in the joined text; entries
     under a references heading are marked as such.
     """
-    clean = lines.withColumn("text", ln.tighten_marks(ln.collapse_spaced_runs(ln.repair_ligatures("text"))))
-    # The chunk helpers read their input twice, so long chains of them are cut where the rows are few.
-    marked = cut_lineage(st.line_kinds(clean))
+    # The body size and the chunk helpers read their input twice, so a line is cut and cleaned once and written, and long
+    # chains of helpers are cut where the rows are few.
+    clean = cut_lineage(lines.withColumn("text", ln.tighten_marks(ln.collapse_spaced_runs(ln.repair_ligatures("text")))).select(
+        "doc_id", "page", "line_no", "text", "size", "bold"))
+    marked = cut_lineage(st.line_kinds(clean).select("doc_id", "page", "line_no", "text", "heading_level"))
+    discard(clean)
     paragraphs = cut_lineage(st.paragraphs(st.lines_to_paragraphs(marked)))
+    discard(marked)
     head = F.col("heading_level") > 0
     text = F.when(head, ln.strip_number(F.col("text"))).otherwise(F.col("text"))
     kind = F.when(head, "heading").otherwise(ln.classify_block("text"))
@@ -32,8 +36,11 @@ def segment_documents(lines: DataFrame) -> DataFrame:
     cut = p.withColumn("__n", F.size(pieces)).select("*", F.posexplode(pieces).alias("__k", "__piece"))
     cut = cut.withColumn("kind", F.when(F.col("__n") > 1, "list_item").otherwise(F.col("kind"))).withColumn("text", F.col("__piece"))
     numbered = scale.running(cut, ["doc_id"], scale.position_chunk("par_no"), ["par_no", "__k"], number="seg_no")
-    numbered = cut_lineage(numbered)
+    numbered = cut_lineage(numbered.select("doc_id", "page", "heading_level", "kind", "text", "seg_no"))
+    discard(paragraphs)
     zoned = pl.reference_zone(numbered)
     kinds = F.when(F.col("in_references"), "reference").otherwise(F.col("kind"))
     out = zoned.withColumn("kind", kinds).withColumn("level", F.col("heading_level"))
-    return pv.assign_offsets(cut_lineage(out.select("doc_id", "seg_no", "kind", "level", "page", "text")))
+    out = cut_lineage(out.select("doc_id", "seg_no", "kind", "level", "page", "text"))
+    discard(numbered)
+    return pv.assign_offsets(out)
