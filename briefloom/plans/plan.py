@@ -58,10 +58,11 @@ def plan_documents(docs: DataFrame, total_seconds: int, density: str = "balanced
                    rubrics=cl.RUBRIC_WORDS) -> Planned:
     """Decks, ordered sections, pages with roles, sourced blocks and navigation for every document.
 
-    Blocks leave their document once. Pages and sections are partial aggregations of them.
+    Blocks leave their document once, and are written: pages, sections and merged blocks all read them, and none cuts and
+    scores the text again.
     """
     paged = paged_documents(docs, density, unit_limit, claims, elaborations, rubrics)
-    raw = page_blocks(paged)
+    raw = cut_lineage(page_blocks(paged).select("doc_id", "section_no", "page", "title", "seg_no", "asset_id", "type", "content", "importance_milli", "channel"))
     blocks = pl.merge_asset_blocks(raw, ("doc_id", "section_no", "page"))
     text = (F.col("type") == "bullet") & (F.col("channel") == "slide")
     slides = raw.groupBy("doc_id", "section_no", "page").agg(
